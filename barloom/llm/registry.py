@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from barloom.llm import secrets, token_files, url_filter
+from barloom.llm import jaccard, secrets, token_files, url_filter
 
 QUERIES = {
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_token_files": token_files.op7_token_files,
+    "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
 }
 ORACLE_SQL = {"op6_url_filter": url_filter.OP6_SQL}
