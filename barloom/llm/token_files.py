@@ -165,8 +165,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, spaces: str,
         for b in batches:
             if b.num_rows and out is None:
                 out = TokenWriter(folder, TaskContext.get().partitionId(), max(enc.vocabulary, (end_id or 0) + 1) > 65536, length)
-            for key_value, value in zip(b.column(0).to_pylist(), b.column(1)):
-                out.add(key_value, np.frombuffer(enc.encode(value.as_py()) + tail, dtype="<u4"))
+            for at in range(0, b.num_rows, 256):
+                some = b.slice(at, 256)
+                for key_value, ids in zip(some.column(0).to_pylist(), enc.encode_all(some.column(1).to_pylist())):
+                    out.add(key_value, np.frombuffer(ids + tail, dtype="<u4"))
         if out is not None:
             name = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([name]), pa.array([out.n_tokens], pa.int64())], names=["part", "name", "n"])

@@ -3,6 +3,8 @@
 A text is cut at places where the tokenizer cuts as well, whatever stands on
 either side, so each chunk is encoded on its own and its ids are remembered.
 Natural text repeats its words, so most chunks cost one dictionary lookup.
+A new chunk of plain Latin text is put together from the ids of the
+tokenizer's own pre-tokens, which repeat even more.
 """
 
 from __future__ import annotations
@@ -34,11 +36,20 @@ class ChunkEncoder:
     The special tokens' strings in a text are ordinary text.
     """
 
+    GROUP_CHARS = 1 << 20
     #: White space and then the characters up to the next space or line feed.
     _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-
-    def __init__(self, path: str, spaces: str, cache_chars: int = 6_000_000):
+    #: Characters that no normal form changes and that have one lower-case letter.
+    _PLAIN = re.compile(r"[\n\x20-\x7e\xa1-\u012f\u0131-\u017f]+")
+    #: The pre-tokens of the two kinds of byte-level tokenizers.
+    _PRE_TOKENS = {
+        True: r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+",
+        False: r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    }
+
+    def __init__(self, path: str, spaces: str, cache_chars: int = 8_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
@@ -47,22 +58,28 @@ class ChunkEncoder:
         self._dropped = spaces == "dropped"
         self._limit, self._chars = cache_chars, 0
         self._cache: dict[str, bytes | None] = {}
+        self._small: dict[str, bytes] = {}
+        self._small_chars = 0
+        self._pre_tokens = regex.compile(self._PRE_TOKENS[self._dropped]).findall
 
     def _whole(self, text: str) -> bytes:
         import numpy as np
 
         return np.asarray(self._tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, chunks: list[str]) -> None:
-        import numpy as np
-
-        new = set(chunks).difference(self._cache)
-        if self._chars > self._limit:
-            self._cache.clear()
-            self._chars, new = 0, set(chunks)
-        order = list(new)
-        for chunk, enc in zip(order, self._tok.encode_batch(order, add_special_tokens=False)):
-            self._cache[chunk] = np.asarray(enc.ids, dtype="<u4").tobytes()
+    def _learn(self, new: set[str]) -> None:
+        if self._small_chars > self._limit:
+            self._small.clear()
+            self._small_chars = 0
+        order, plain, small = list(new), [], self._small
+        for chunk in order:
+            parts = self._pre_tokens(chunk.lower() if self._dropped else chunk) if self._PLAIN.fullmatch(chunk) else [chunk]
+            plain.append(parts)
+        unseen = list({p for parts in plain for p in parts}.difference(small))
+        self._encode(unseen)
+        self._small_chars += sum(map(len, unseen))
+        for chunk, parts in zip(order, plain):
+            self._cache[chunk] = b"".join(map(small.__getitem__, parts))
         if not self._dropped:
             for chunk in order:
                 # other white space before a space may be one token with it: not a safe place to cut
@@ -70,21 +87,52 @@ class ChunkEncoder:
                     self._cache[chunk] = None
         self._chars += sum(map(len, order))
 
+    def _encode(self, parts: list[str]) -> None:
+        """Ids of pre-tokens. Those of letters only are encoded as one text, which is cheaper for each."""
+        import numpy as np
+
+        letters = [p for p in parts if (p.isalpha() if self._dropped else p[0] == " " and p[1:].isalpha()) and self._PLAIN.fullmatch(p)]
+        if letters:
+            enc = self._tok.encode_batch_fast([(" " if self._dropped else "").join(letters)], add_special_tokens=False)[0]
+            word = np.asarray([-1 if w is None else w for w in enc.word_ids])
+            at = np.flatnonzero(np.diff(word, prepend=-1)).tolist()
+            if len(at) == len(letters):
+                ids = np.asarray(enc.ids, dtype="<u4")
+                self._small.update(zip(letters, (x.tobytes() for x in np.split(ids, at[1:]))))
+        rest = [p for p in parts if p not in self._small]
+        for part, enc in zip(rest, self._tok.encode_batch_fast(rest, add_special_tokens=False)):
+            self._small[part] = np.asarray(enc.ids, dtype="<u4").tobytes()
+
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        chunks = text.replace("\n", " ").split(" ") if self._dropped else self._PIECES.findall(text)
-        get = self._cache.__getitem__
-        try:
-            return b"".join(map(get, chunks))
-        except KeyError:
-            self._learn(chunks)
-        except TypeError:
-            return self._whole(text)
-        try:
-            return b"".join(map(get, chunks))
-        except TypeError:
-            return self._whole(text)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text. What is new in about a megabyte of texts is learned together."""
+        out, held, size = [], [], 0
+        for text in texts:
+            held.append(text or "")
+            size += len(held[-1])
+            if size >= self.GROUP_CHARS:
+                out += self._group(held)
+                held, size = [], 0
+        return out + self._group(held)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        cut = (lambda t: t.replace("\n", " ").split(" ")) if self._dropped else self._PIECES.findall
+        chunks = [cut(t) for t in texts]
+        new = set().union(*chunks).difference(self._cache)
+        if new:
+            if self._chars > self._limit:
+                self._cache.clear()
+                self._chars, new = 0, set().union(*chunks)
+            self._learn(new)
+        get, out = self._cache.__getitem__, []
+        for text, parts in zip(texts, chunks):
+            try:
+                out.append(b"".join(map(get, parts)))
+            except TypeError:  # a chunk that is no safe place to cut
+                out.append(self._whole(text))
+        return out
 
 
 _ENCODERS: dict[tuple, ChunkEncoder] = {}
