@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import jaccard, langid, quality, secrets, token_files, url_filter
+from barloom.llm import jaccard, langid, packing, quality, secrets, token_files, url_filter
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_token_files": token_files.op7_token_files,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
+    "op10_packing": packing.op10_packing,
 }
 ORACLE_SQL = {"op6_url_filter": url_filter.OP6_SQL}
