@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from barloom.llm import html_extract, jaccard, langid, packing, quality, secrets, token_files, url_filter
+from barloom.llm import html_extract, jaccard, langid, packing, quality, secrets, token_files, url_filter, vectors
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
+    "op2_embedding_dedup": vectors.op2_embedding_dedup,
     "op3_html_extract": html_extract.op3_html_extract,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_secret_scan": secrets.op5_secret_scan,
