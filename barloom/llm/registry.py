@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import html_extract, jaccard, langid, packing, quality, secrets, token_files, url_filter, vectors
+from barloom.llm import html_extract, jaccard, langid, packing, pieces, quality, secrets, token_files, url_filter, vectors
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_token_files": token_files.op7_token_files,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
+    "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_packing": packing.op10_packing,
 }
 ORACLE_SQL = {"op6_url_filter": url_filter.OP6_SQL}
