@@ -182,6 +182,37 @@ CANDLES = f"""k0 AS (SELECT *, abs(close - open) AS body, close > open AS up, cl
   candle AS (SELECT *, {", ".join(f"coalesce({_doubles(v)}, false) AS f_{k}" for k, v in candle_rules().items())} FROM k2)"""
 
 
+OSCILLATORS = ["ma10", "ma240", "conversion", "base", "span_a", "span_b", "cloud_top", "cloud_bottom", "cci", "mfi", "wr", "vwap120"]
+
+
+def _oscillators(source: str) -> str:
+    mid = lambda n: f"({roll('max(high)', 'high', n)} + {roll('min(low)', 'low', n)}) / 2"
+    return f"""o0 AS (SELECT *, {roll('avg(close)', 'close', 10)} AS ma10, {roll('avg(close)', 'close', 240)} AS ma240, {mid(9)} AS conversion, {mid(26)} AS base, {mid(52)} AS span_b,
+    (high + low + close) / 3 AS tp, close * volume AS cv, {roll('max(high)', 'high', 14)} AS h14, {roll('min(low)', 'low', 14)} AS l14 FROM {source}),
+  o1 AS (SELECT *, (conversion + base) / 2 AS span_a, {roll('avg(tp)', 'tp', 20)} AS tpm, {lag('tp')} AS tpb FROM o0),
+  o2 AS (SELECT *, abs(tp - tpm) AS dev, CASE WHEN tp > tpb THEN tp * volume ELSE 0.0 END AS pos, CASE WHEN tp < tpb THEN tp * volume ELSE 0.0 END AS neg, {lag('span_a', 26)} AS ca, {lag('span_b', 26)} AS cb FROM o1),
+  osc AS (SELECT *, CASE WHEN ca IS NOT NULL AND cb IS NOT NULL THEN greatest(ca, cb) END AS cloud_top, CASE WHEN ca IS NOT NULL AND cb IS NOT NULL THEN least(ca, cb) END AS cloud_bottom,
+    (tp - tpm) / nullif(0.015::DOUBLE * ({roll('avg(dev)', 'dev', 20)}), 0) AS cci, 100 - 100 / (1 + ({roll('sum(pos)', 'pos', 14)}) / nullif({roll('sum(neg)', 'neg', 14)}, 0)) AS mfi,
+    -100 * (h14 - close) / nullif(h14 - l14, 0) AS wr, ({roll('sum(cv)', 'cv', 120)}) / nullif({roll('sum(volume)', 'volume', 120)}, 0) AS vwap120 FROM o2)"""
+
+
+def oscillator_rules() -> dict[str, str]:
+    up = lambda x, y: f"{x} > {y} AND y_{x} <= y_{y}"
+    down = lambda x, y: f"{x} < {y} AND y_{x} >= y_{y}"
+    over = lambda x, n: f"{x} > {n} AND y_{x} <= {n}"
+    under = lambda x, n: f"{x} < {n} AND y_{x} >= {n}"
+    return {
+        "sto_gc": up("sto_k", "sto_d") + " AND y_sto_k <= 20", "sto_dc": down("sto_k", "sto_d") + " AND y_sto_k >= 80", "macd_zero_up": over("macd", 0), "macd_zero_dn": under("macd", 0),
+        "rsi_os_exit": over("rsi", 30), "rsi_ob_exit": under("rsi", 70), "rsi50_up": over("rsi", 50), "cci_up": over("cci", -100), "cci_dn": under("cci", 100), "mfi_os": "mfi <= 20", "mfi_ob": "mfi >= 80",
+        "wr_os_exit": over("wr", -80), "dmi_gc": up("pdi", "mdi") + " AND adx >= 20", "dmi_dc": down("pdi", "mdi") + " AND adx >= 20", "adx25_up": over("adx", 25) + " AND pdi > mdi", "adx25_dn": over("adx", 25) + " AND pdi < mdi",
+        "bb_rebound": "y_close < y_bb_lower AND close > bb_lower", "ichi_cloud_up": up("close", "cloud_top"), "ichi_cloud_dn": down("close", "cloud_bottom"), "ichi_tk_gc": up("conversion", "base"),
+        "ichi_tk_dc": down("conversion", "base"), "ichi_chikou": "close > c26 AND y_close <= c27", "ichi_twist": up("span_a", "span_b"), "vwap_up": up("close", "vwap120"), "vwap_dn": down("close", "vwap120"),
+    }
+
+
+_BEFORE = ", ".join(f"{lag(x)} AS y_{x}" for x in "sto_k sto_d macd rsi cci wr pdi mdi adx close bb_lower cloud_top cloud_bottom conversion base span_a span_b vwap120".split())
+
+
 def _resample(unit: str) -> str:
     return f"res AS (SELECT code, CAST(date_trunc('{unit}', date) AS DATE) AS period, arg_min(open, date) AS open, max(high) AS high, min(low) AS low, arg_max(close, date) AS close, sum(volume) AS volume FROM bars GROUP BY 1, 2)"
 
@@ -227,6 +258,10 @@ ORACLE_SQL = {
     "recursive_indicators": f"WITH {BARS}, {MOVING}, {RECURSIVE} SELECT code, date, " + ", ".join(f"round({k}, 2) AS {k}" for k in ("rsi", "macd", "macd_signal", "atr", "pdi", "mdi", "adx")) + " FROM ind",
     "condition_counts": f"WITH {BARS}, {MOVING}, {RECURSIVE}, {CONDITIONS} SELECT code, count(*) AS n_bars, " + ", ".join(f"count(*) FILTER (f_{k}) AS {k}" for k in cond_rules()) + " FROM cond GROUP BY 1",
     "candle_counts": f"WITH {BARS}, {MOVING}, {RECURSIVE}, {CANDLES} SELECT code, " + ", ".join(f"count(*) FILTER (f_{k}) AS {k}" for k in candle_rules()) + " FROM candle GROUP BY 1",
+    "oscillator_indicators": f"WITH {BARS}, {_oscillators('bars')} SELECT code, date, " + ", ".join(k if k in OSCILLATORS[2:8] else f"round({k}, 2) AS {k}" for k in OSCILLATORS) + " FROM osc",
+    "oscillator_counts": f"WITH {BARS}, {MOVING}, {RECURSIVE}, {_oscillators('ind')}, oy AS (SELECT *, {_BEFORE}, {lag('close', 26)} AS c26, {lag('close', 27)} AS c27 FROM osc) SELECT code, "
+    + ", ".join(f"count(*) FILTER ({v}) AS {k}" for k, v in oscillator_rules().items())
+    + " FROM oy GROUP BY 1",
     "golden_cross_study": f"""WITH {BARS}, g0 AS (SELECT *, {roll('avg(close)', 'close', 5)} AS ma5, {roll('avg(close)', 'close', 20)} AS ma20, {horizon(20)} AS ret FROM bars),
   g1 AS (SELECT *, coalesce(ma5 > ma20 AND {lag('ma5')} <= {lag('ma20')}, false) AS gc FROM g0), g2 AS (SELECT *, {onset('gc')} AS ev FROM g1)
 {stats('code')} FROM g2 WHERE ev AND abs(ret) <= 3 GROUP BY code""",

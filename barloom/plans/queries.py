@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions.expr import flag, highest, lag, mean, onset, pct_rank, tick
 from barloom.operators.conditions import CANDLES, CONDITIONS, add_candles, add_conditions, events
 from barloom.operators.indicators import add_indicators, add_moving
+from barloom.operators.oscillators import OSCILLATORS, PATTERNS, add_oscillator_patterns, add_oscillators
 from barloom.operators.studies import asof_backward, combo_table, index_series, quote_bars, resample, volume_profile
 from barloom.operators.trades import barrier_exit, drawdown, horizon_return, streak, trade_stats
 from barloom.sources import market
@@ -64,6 +65,17 @@ def candle_counts(spark, sf):
     return d.groupBy("code").agg(*[F.count_if(F.col(k)).alias(k) for k in CANDLES])
 
 
+def oscillator_indicators(spark, sf):
+    d = add_oscillators(market.bars(spark, sf))
+    exact = {"conversion", "base", "span_a", "span_b", "cloud_top", "cloud_bottom"}
+    return d.select("code", "date", *[F.col(k) if k in exact else r(k, 2).alias(k) for k in OSCILLATORS])
+
+
+def oscillator_counts(spark, sf):
+    d = add_oscillator_patterns(add_oscillators(add_indicators(market.bars(spark, sf))))
+    return d.groupBy("code").agg(*[F.count_if(F.col(k)).alias(k) for k in PATTERNS])
+
+
 def golden_cross_study(spark, sf):
     d = market.bars(spark, sf).withColumns({"ma5": mean("close", 5), "ma20": mean("close", 20)})
     d = d.withColumn("gc", flag((F.col("ma5") > F.col("ma20")) & (lag("ma5") <= lag("ma20")))).withColumn("ret", horizon_return(20))
@@ -248,7 +260,7 @@ def quotes_hourly(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        bars_daily, resample_weekly, resample_monthly, listing_filter, market_breadth, moving_indicators, recursive_indicators, condition_counts, candle_counts,
+        bars_daily, resample_weekly, resample_monthly, listing_filter, market_breadth, moving_indicators, recursive_indicators, condition_counts, candle_counts, oscillator_indicators, oscillator_counts,
         golden_cross_study, horizon_stats, barrier_sim, cross_rank, index_capweighted, sector_index, sector_leaders, drawdown_metrics, monthly_table, return_histogram,
         flow_streak, net_buy_rank, investor_study, asof_fundamentals, volume_profiles, tick_rounding, top_movers, pattern_event_study, setup_stats_by_year, combo_mine,
         regime_lamps, price_alerts, portfolio_value, valuation_median, screen_metrics, quotes_hourly,
