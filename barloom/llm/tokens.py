@@ -47,7 +47,7 @@ class ChunkEncoder:
         False: r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
     }
 
-    def __init__(self, path: str, spaces: str, cache_chars: int = 8_000_000):
+    def __init__(self, path: str, spaces: str, cache_chars: int = 10_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -57,11 +57,25 @@ class ChunkEncoder:
         self.vocabulary = self._tok.get_vocab_size(with_added_tokens=True)
         self._dropped = spaces == "dropped"
         self._limit, self._chars = cache_chars, 0
-        self._cache: dict[str, bytes | None] = {}
+        self._cache: dict[str, bytes | None] = {"\0\0": None}
         self._small: dict[str, bytes] = {}
         self._small_chars = 0
         self._pre_tokens = regex.compile(self._PRE_TOKENS[self._dropped]).findall
 
+    def _cut(self, text: str) -> list[str]:
+        if self._dropped:
+            return text.replace("\n", " ").split(" ")
+        spaced = text.replace("\n", " \n")
+        if "  " in spaced or "\n\n" in text or spaced[-1:] in (" ", "\n"):  # runs of white space: the slower way
+            return ["\0" + x for x in self._PIECES.findall(text)]
+        first, *chunks = spaced.split(" ")
+        return ["\0" + first, *chunks] if first else chunks
+
+    @staticmethod
+    def _meant(chunk: str) -> str:
+        """A chunk is a word after a space, or begins with a line feed, or is literal after a mark."""
+        return chunk[1:] if chunk[0] == "\0" else chunk if chunk[0] == "\n" else " " + chunk
+
     def _whole(self, text: str) -> bytes:
         import numpy as np
 
@@ -73,8 +87,15 @@ class ChunkEncoder:
             self._small_chars = 0
         order, plain, small = list(new), [], self._small
         for chunk in order:
-            parts = self._pre_tokens(chunk.lower() if self._dropped else chunk) if self._PLAIN.fullmatch(chunk) else [chunk]
-            plain.append(parts)
+            known = chunk if self._dropped else self._meant(chunk)
+            if not self._PLAIN.fullmatch(known):
+                plain.append([known])
+            elif chunk.isalpha():
+                plain.append([chunk.lower() if self._dropped else known])
+            elif chunk[-1] in ".," and chunk[:-1].isalpha():  # most of the rest
+                plain.append([known[:-1].lower() if self._dropped else known[:-1], chunk[-1]])
+            else:
+                plain.append(self._pre_tokens(known.lower() if self._dropped else known))
         unseen = list({p for parts in plain for p in parts}.difference(small))
         self._encode(unseen)
         self._small_chars += sum(map(len, unseen))
@@ -83,7 +104,7 @@ class ChunkEncoder:
         if not self._dropped:
             for chunk in order:
                 # other white space before a space may be one token with it: not a safe place to cut
-                if chunk[-1:].isspace() and chunk.strip(" \n"):
+                if chunk[-1:].isspace() and self._meant(chunk).strip(" \n"):
                     self._cache[chunk] = None
         self._chars += sum(map(len, order))
 
@@ -118,13 +139,12 @@ class ChunkEncoder:
         return out + self._group(held)
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        cut = (lambda t: t.replace("\n", " ").split(" ")) if self._dropped else self._PIECES.findall
-        chunks = [cut(t) for t in texts]
+        chunks = [self._cut(t) if self._dropped or "\0" not in t else ["\0\0"] for t in texts]
         new = set().union(*chunks).difference(self._cache)
         if new:
             if self._chars > self._limit:
-                self._cache.clear()
-                self._chars, new = 0, set().union(*chunks)
+                self._cache = {"\0\0": None}
+                self._chars, new = 0, set().union(*chunks).difference(self._cache)
             self._learn(new)
         get, out = self._cache.__getitem__, []
         for text, parts in zip(texts, chunks):
