@@ -101,7 +101,7 @@ def test_secret_index_and_redaction(spark):
     d = spark.createDataFrame([(None, "token=abcdef end"), (1, "token=" + "a" * 24), (1, None)], "doc_id long, text string")
     out = secrets.scan_secrets(d)
     texts = out.select(secrets.redact(F.col("text"), F.col("secret_spans")).alias("t")).collect()
-    assert sorted((r["t"] for r in texts), key=str) == ["None" and None, "[SECRET]", "[SECRET] end"] or {r["t"] for r in texts} == {None, "[SECRET]", "[SECRET] end"}
+    assert len(texts) == 3 and {r["t"] for r in texts} == {None, "[SECRET]", "[SECRET] end"}
     assert secrets.scan_secrets(d.limit(0)).count() == 0
 
 
@@ -140,11 +140,10 @@ def brute_jaccard(texts, words, percent):
         w = WORD.findall((t or "").translate({i: i + 32 for i in range(65, 91)}))
         sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
     comp = list(range(len(texts)))
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b and 100 * len(a & b) >= percent * len(a | b)]
     for _ in texts:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets):
-                if a and b and 100 * len(a & b) >= percent * len(a | b):
-                    comp[i] = comp[j] = min(comp[i], comp[j])
+        for i, j in links:
+            comp[i] = comp[j] = min(comp[i], comp[j])
     return [len(s) for s in sets], comp
 
 
