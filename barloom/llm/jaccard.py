@@ -5,8 +5,11 @@ have one global order, rare before frequent, and a document's first columns
 are its *block* of the product: two documents that are similar enough must
 meet in those (their length comes from the set's size alone). Overlaps are
 accumulated over that block; pairs whose accumulated overlap plus the most
-that can still come is below the bound that their sizes demand are dropped,
-and the rest of the product is computed for what is left.
+that can still come is below the bound that their sizes demand are dropped.
+Of what is left, the columns are counted in SIGNATURE blocks: two documents
+have no more common columns in a block than the smaller of their counts, so
+the sum of these drops most pairs that only share a passage. The rest of the
+product is computed for the others.
 
 Documents with the same set are one class from the start. A first product
 with one row per column merges most of each group, so the full product is
@@ -25,9 +28,15 @@ from barloom.llm.common import connected_components, cut, stored
 WORDS = 4
 PERCENT = 85
 #: Columns are counted in so many bins, which is all that the driver and the broadcast hold.
-COUNT_BITS = 19
+COUNT_BITS = 18
 #: Text bytes that are hashed at a time inside a task.
-SLICE = 1 << 21
+SLICE = 1 << 20
+#: Rows of an Arrow batch that are worked on at a time inside a task.
+ROWS = 512
+#: Blocks of columns in which a document's columns are counted, a byte each.
+SIGNATURE = 256
+#: Ids are broadcast to pick rows up to this number (a few MB); more are joined by a shuffle.
+BROADCAST_IDS = 1 << 18
 
 
 def _mix(x):
@@ -119,6 +128,13 @@ def hasher(words: int) -> ShingleHasher:
     return _HASHERS.setdefault(words, ShingleHasher(words))
 
 
+def _small(batches):
+    """The batches, a few rows at a time: bounds what a task holds besides its input."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def _bytes(column) -> list[bytes]:
     return [x if x is not None else b"" for x in column.cast("binary").to_pylist()]
 
@@ -136,7 +152,7 @@ def column_ranks(docs: DataFrame, words: int):
         import pyarrow as pa
 
         sums = np.zeros(bins, np.int64)
-        for b in batches:
+        for b in _small(batches):
             sets = hasher(words).sets(_bytes(b.column(0)))
             if sets:
                 sums += np.bincount((np.concatenate(sets) >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=bins)
@@ -158,7 +174,7 @@ def block_length(n: int, percent: int) -> int:
 
 
 def _profiles(docs: DataFrame, words: int, percent: int, ranks) -> DataFrame:
-    """id, n (size of the set), digest of the set, block (its first columns in the global order)."""
+    """id, n (size of the set), digest of the set, block (its first columns in the global order), sig (see SIGNATURE)."""
     share = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def profile(batches):
@@ -167,7 +183,7 @@ def _profiles(docs: DataFrame, words: int, percent: int, ranks) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in _small(batches):
             sets = hasher(words).sets(_bytes(b.column(1)))
             blocks, sizes = [], [0]
             for s in sets:
@@ -181,11 +197,37 @@ def _profiles(docs: DataFrame, words: int, percent: int, ranks) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat)),
+                    pa.array([_signature(s) for s in sets], pa.binary()),
                 ],
-                names=["id", "n", "digest", "block"],
+                names=["id", "n", "digest", "block", "sig"],
             )
 
-    return docs.select("id", "text").mapInArrow(profile, "id long, n long, digest binary, block array<long>")
+    return docs.select("id", "text").mapInArrow(profile, "id long, n long, digest binary, block array<long>, sig binary")
+
+
+def _signature(items) -> bytes | None:
+    """Columns in each block; None where a byte can't hold the counts, and no bound is taken then."""
+    import numpy as np
+
+    counts = np.bincount((items >> np.uint64(56)).astype(np.int64), minlength=SIGNATURE)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else None
+
+
+def _possible(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the blocks' counts allow to be similar."""
+    both = pairs.join(sigs.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in _small(batches):
+            na, nb = b.column(1).to_numpy(), b.column(3).to_numpy()
+            xs, ys = b.column(4).to_pylist(), b.column(5).to_pylist()
+            most = np.array([2**40 if x is None or y is None else int(np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)).sum(dtype=np.int64)) for x, y in zip(xs, ys)], np.int64)
+            yield pa.record_batch(b.columns[:4], names=["a", "n_a", "b", "n_b"]).filter(pa.array((100 + percent) * most >= percent * (na + nb)))
+
+    return both.select("a", "n_a", "b", "n_b", "sig_a", "sig_b").mapInArrow(run, "a long, n_a long, b long, n_b long")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -193,7 +235,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in _small(batches):
             sets = hasher(words).sets(_bytes(b.column(1)))
             sizes = np.cumsum([0] + [len(s) for s in sets])
             flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
@@ -207,8 +249,19 @@ def _enough(overlap: Column, n_a: Column, n_b: Column, percent: int) -> Column:
     return (100 + percent) * overlap >= percent * (n_a + n_b)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs (a, n_a, b, n_b)``, those that are similar."""
+def _picked(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` whose id is in ``ids (id)``, which are counted first."""
+    ids = cut(ids.distinct())
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
+def _verified(pairs: DataFrame, profiles: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of ``pairs (a, n_a, b, n_b)``, those that are similar: the rest of the product for these rows."""
+    ends = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id")))
+    pairs = cut(pairs.select("a", "n_a", "b", "n_b"))
+    pairs = cut(_possible(pairs, _picked(profiles.select("id", "sig"), ends(pairs)), percent))
+    ids = ends(pairs)
+    sets = stored(_sets(_picked(texts, ids), words), "sets")
     left, right = (sets.select(F.col("id").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
     both = pairs.join(left, "a").join(right, "b")
     return both.where(_enough(F.size(F.array_intersect("items_a", "items_b")), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
@@ -253,23 +306,25 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reps = profiles.join(members.where("id = rep").select("id"), "id", "left_semi")
 
     columns = reps.select("id", "n", F.posexplode("block").alias("pos", "item"))
-    shared = columns.groupBy("item").agg(F.count(F.lit(1)).alias("df"), F.min(F.xxhash64("id", "item")).alias("first")).where("df > 1")
-    active = stored(columns.join(shared, "item").select("item", "id", "n", "pos", (F.xxhash64("id", "item") == F.col("first")).alias("centre")).withColumn("comp", F.col("id")), "columns")
-    needed = active.select("id").distinct()
+    shared = columns.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("item")
+    # size and place in one number: these rows are most of what is shuffled
+    slim = columns.select("item", "id", (F.col("n") * F.lit(1 << 32) + F.col("pos")).alias("np"))
+    active = stored(slim.join(shared, "item", "left_semi").select("item", "id", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), F.col("id").alias("comp")), "columns")
+    firsts = active.groupBy("item").agg(F.min(F.xxhash64("id", "item")).alias("first"))
+    centres = active.join(firsts, "item").where(F.xxhash64("id", "item") == F.col("first"))
     texts = base if plain else _counted_texts(base, words, profiles)
-    sets = stored(_sets(texts.join(needed, "id", "left_semi"), words), "sets")
 
     # one row of each column against the others; each document with the one it shares most with
-    near = _product(active, active.where("centre"), F.col("a") != F.col("b"), percent)
+    near = _product(active, centres, F.col("a") != F.col("b"), percent)
     best = near.groupBy("a", "n_a").agg(F.max(F.struct("shared", "b", "n_b")).alias("m")).select("a", "n_a", F.col("m.b").alias("b"), F.col("m.n_b").alias("n_b"))
-    links = cut(_verified(best, sets, percent))
+    links = cut(_verified(best, profiles, texts, words, percent))
     comps = cut(connected_components(links))
 
     # all rows of a column, where these are not all connected yet
     renamed = active.drop("comp").join(comps.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left").withColumn("comp", F.coalesce("c", "id")).drop("c")
     open_items = renamed.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("item")
     rest = stored(renamed.join(open_items, "item", "left_semi"), "open")
-    more = _verified(_product(rest, rest, (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")), percent), sets, percent)
+    more = _verified(_product(rest, rest, (F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")), percent), profiles, texts, words, percent)
     comps = cut(connected_components(links.unionByName(more)))
 
     groups = (
@@ -287,7 +342,7 @@ def _counted_texts(base: DataFrame, words: int, profiles: DataFrame) -> DataFram
 
         import pyarrow as pa
 
-        for b in batches:
+        for b in _small(batches):
             d = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in hasher(words).sets(_bytes(b.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d, pa.binary())], names=["id", "text", "digest"])
 
