@@ -252,8 +252,8 @@ ORACLE_SQL = {
     "resample_monthly": f"WITH {BARS}, {_resample('month')} SELECT * FROM res",
     "listing_filter": f"WITH {LISTING} SELECT code, market, theme, marcap, row_number() OVER (PARTITION BY market ORDER BY marcap DESC, code) AS size_rank FROM listing",
     "market_breadth": f"WITH {BARS}, {_BREADTH} SELECT * FROM breadth",
-    "moving_indicators": f"WITH {BARS}, {MOVING} SELECT code, date, obv, "
-    + ", ".join(f"round({k}, {n}) AS {k}" for k, n in {"ma5": 2, "ma20": 2, "ma60": 2, "ma120": 2, "ma60_slope": 4, "bb_upper": 2, "bb_width": 4, "sto_k": 2, "sto_d": 2, "vol_ma20": 4, "hh20_prev": 4, "hh252": 4, "ret60": 4, "ret120": 4}.items())
+    "moving_indicators": f"WITH {BARS}, {MOVING} SELECT code, date, obv, hh20_prev, hh252, "
+    + ", ".join(f"round({k}, {n}) AS {k}" for k, n in {"ma5": 2, "ma20": 2, "ma60": 2, "ma120": 2, "ma60_slope": 4, "bb_upper": 2, "bb_width": 4, "sto_k": 2, "sto_d": 2, "vol_ma20": 4, "ret60": 4, "ret120": 4}.items())
     + " FROM moving",
     "recursive_indicators": f"WITH {BARS}, {MOVING}, {RECURSIVE} SELECT code, date, " + ", ".join(f"round({k}, 2) AS {k}" for k in ("rsi", "macd", "macd_signal", "atr", "pdi", "mdi", "adx")) + " FROM ind",
     "condition_counts": f"WITH {BARS}, {MOVING}, {RECURSIVE}, {CONDITIONS} SELECT code, count(*) AS n_bars, " + ", ".join(f"count(*) FILTER (f_{k}) AS {k}" for k in cond_rules()) + " FROM cond GROUP BY 1",
@@ -300,7 +300,7 @@ SELECT code, investor, date, net, s * coalesce(cut - 1, len) AS streak FROM s1 J
   l AS (SELECT *, ret - avg(ret) OVER (PARTITION BY date, investor) AS excess FROM k WHERE ret IS NOT NULL)
 SELECT investor, count(*) AS n, round(avg(excess), 6) AS excess, round(avg(CASE WHEN excess > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM l WHERE rank > 0.8::DOUBLE GROUP BY 1""",
     "asof_fundamentals": f"""WITH {BARS}, {_resample('month')}, facts AS (SELECT code, CAST(last_day(period) + INTERVAL 1 DAY AS DATE) AS date, close AS book FROM res)
-SELECT b.code, count(*) AS n, round(avg(b.close / f.book), 6) AS price_to_book, round(max(f.book), 4) AS max_book FROM bars b ASOF JOIN facts f ON b.code = f.code AND b.date >= f.date GROUP BY 1""",
+SELECT b.code, count(*) AS n, round(avg(b.close / f.book), 6) AS price_to_book, max(f.book) AS max_book FROM bars b ASOF JOIN facts f ON b.code = f.code AND b.date >= f.date GROUP BY 1""",
     "volume_profiles": f"""WITH {BARS}, v0 AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS rn FROM bars), v1 AS (SELECT *, min(low) OVER (PARTITION BY code) AS lo, max(high) OVER (PARTITION BY code) AS hi FROM v0 WHERE rn <= 120),
   v2 AS (SELECT *, (hi - lo) / 24 AS width, lo + bin * ((hi - lo) / 24) AS a FROM v1, range(24) t(bin) WHERE hi > lo)
 SELECT code, CAST(bin AS INT) AS bin, round(sum(amount * CASE WHEN high > low THEN greatest(0, least(high, a + width) - greatest(low, a)) / (high - low) ELSE CASE WHEN low >= a AND low < a + width THEN 1 ELSE 0 END END), 2) AS value FROM v2 GROUP BY 1, 2""",

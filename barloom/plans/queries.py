@@ -46,8 +46,8 @@ def market_breadth(spark, sf):
 
 def moving_indicators(spark, sf):
     d = add_moving(market.bars(spark, sf))
-    names = {"ma5": 2, "ma20": 2, "ma60": 2, "ma120": 2, "ma60_slope": 4, "bb_upper": 2, "bb_width": 4, "sto_k": 2, "sto_d": 2, "vol_ma20": 4, "hh20_prev": 4, "hh252": 4, "ret60": 4, "ret120": 4}
-    return d.select("code", "date", "obv", *[r(k, n).alias(k) for k, n in names.items()])
+    names = {"ma5": 2, "ma20": 2, "ma60": 2, "ma120": 2, "ma60_slope": 4, "bb_upper": 2, "bb_width": 4, "sto_k": 2, "sto_d": 2, "vol_ma20": 4, "ret60": 4, "ret120": 4}
+    return d.select("code", "date", "obv", "hh20_prev", "hh252", *[r(k, n).alias(k) for k, n in names.items()])
 
 
 def recursive_indicators(spark, sf):
@@ -164,7 +164,7 @@ def asof_fundamentals(spark, sf):
     b = market.bars(spark, sf)
     facts = resample(b, "month").select("code", F.date_add(F.last_day("period"), 1).alias("date"), F.col("close").alias("book"))
     d = asof_backward(b, facts, "book").where("book is not null")
-    return d.groupBy("code").agg(F.count(F.lit(1)).alias("n"), r(F.avg(F.col("close") / F.col("book")), 6).alias("price_to_book"), r(F.max("book"), 4).alias("max_book"))
+    return d.groupBy("code").agg(F.count(F.lit(1)).alias("n"), r(F.avg(F.col("close") / F.col("book")), 6).alias("price_to_book"), F.max("book").alias("max_book"))
 
 
 def volume_profiles(spark, sf):
