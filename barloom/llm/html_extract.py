@@ -1,18 +1,24 @@
 """Main text of web pages by wrapper induction.
 
-For each host a few pages are parsed and their trees are aligned by simple
-tree matching. Nodes whose text is the same in the aligned pages are template;
-slots whose text varies are candidates for content. The wrapper of a host says
-which element holds most of the varying text and which nodes outside an
-article are template. Every page of the host is then read through its wrapper:
-the content element without menus, adverts, forms and the like, block by block.
+For each host a few distinct pages propose anchor trees, one for each layout.
+Every page of the host is aligned with its best anchor by simple tree matching
+over all its block elements; an aligned element takes the anchor's slot, and
+every element has the slot of its own path. The lines of text in each slot are counted
+over those pages: a line that nearly all pages with the slot
+share is template, and outside an article is left out where it stands
+in that slot. The wrapper also says which article or main element holds the
+most varying text. Menus, adverts, forms and the like are left out by name,
+role and class besides.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
+from collections import Counter
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -23,8 +29,14 @@ from barloom.llm.url_filter import host_of
 
 #: Pages of a host that its wrapper is induced from, at most.
 SAMPLE_PAGES = 6
-#: Share of a node's text that must agree over the aligned pages for it to be template.
+#: Share of a slot's pages that must have the same line there for it to be template.
 CONSTANT_SHARE = 0.9
+#: A page that would keep less than this share of its text is a near copy of others: nothing is taken away.
+LEAST_LEFT = 0.1
+#: An anchor that agrees with an earlier one in this share of the score is of the same layout.
+SAME_LAYOUT = 0.8
+#: Pairs of siblings that one alignment compares, and its levels; elements beyond keep the slots of their own paths.
+MOST_PAIRS, MOST_LEVELS = 40_000, 300
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,6 +57,7 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option
 _TAG = re.compile(r"<(?:!--(?P<c>.*?)(?:-->|\Z)|(?P<d>[!?][^>]*)>|(?P<e>/?)(?P<n>[a-zA-Z][^\s/>]*)(?P<a>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)")
 _WORDS = re.compile(r"[a-z]+")
+_DIGITS = re.compile(r"[0-9]+")
 
 
 class Node:
@@ -103,41 +116,112 @@ def dropped(node: Node, inside_main: bool) -> bool:
 
 
 def signature(node: Node) -> str:
-    return f"{node.name}.{node.mark}" if node.mark else node.name
+    """Name and mark; numbers in a mark (``post-17``) are all the same."""
+    return f"{node.name}.{_DIGITS.sub('0', node.mark)}" if node.mark else node.name
 
 
-def _text(node: Node) -> str:
-    parts, todo = [], [node]
+@lru_cache(1 << 16)
+def _hash(above: int, what: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{above} {what}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+#: Slots of text outside every block element.
+NOWHERE = (0,)
+
+
+class Outline:
+    """A block element of a tree: its signature and the block elements below it, inline elements left out."""
+
+    __slots__ = ("sign", "children", "node", "key", "weight", "slot", "own")
+
+    def __init__(self, sign: str, children: list, node: Node | None = None):
+        self.sign, self.children, self.node = sign, children, node
+        self.key = hash((sign, *(c.key for c in children)))
+        self.weight = 3 + sum(c.weight for c in children)
+        self.slot = self.own = 0
+
+
+def outline(root: Node) -> Outline:
+    order, todo = [], [(root, None)]
     while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            parts.append(x)
-        elif x.name not in RAW:
-            todo.extend(reversed(x.children))
-    return " ".join(" ".join(parts).split())
-
-
-def _elements(node: Node) -> list[Node]:
-    """Child elements; of a run with one signature only the first (a repeat aligns with a repeat)."""
-    found: list[Node] = []
-    for c in node.children:
-        if not isinstance(c, str) and not (found and signature(found[-1]) == signature(c)):
-            found.append(c)
-    return found
+        node, above = todo.pop()
+        if node is root or node.name in BLOCK:
+            order.append((node, above))
+            above = node
+        todo.extend((c, above) for c in reversed(node.children) if not isinstance(c, str) and c.name not in RAW)
+    below: dict[int, list[Outline]] = {}
+    for node, above in reversed(order):
+        made = Outline(signature(node), below.pop(id(node), [])[::-1], node)
+        below.setdefault(id(above), []).append(made)
+    return made
+
+
+def _plain(tree: Outline) -> list:
+    """Nested lists of signatures, to a depth that JSON can nest."""
+    return _cut(tree, MOST_LEVELS)
+
+
+def _cut(tree: Outline, levels: int) -> list:
+    return [tree.sign, [_cut(c, levels - 1) for c in tree.children] if levels else []]
+
 
+def _anchor(plain: list, above: int = 0) -> Outline:
+    tree = Outline(plain[0], [_anchor(c) for c in plain[1]])
+    if not above:
+        _name_slots(tree, {})
+    return tree
 
-def match(a: Node, b: Node, depth: int = 40) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the size of the largest order-keeping alignment, and its pairs."""
-    if signature(a) != signature(b):
+
+def _name_slots(tree: Outline, aligned: dict[int, int]) -> None:
+    """Give every element its slot: of the anchor's element it is aligned with, else below its parent's by its own signature."""
+    todo = [(tree, 0, 0)]
+    while todo:
+        x, above, own = todo.pop()
+        x.own = _hash(own, x.sign)
+        x.slot = aligned.get(id(x)) or _hash(above, x.sign)
+        todo.extend((c, x.slot, x.own) for c in x.children)
+
+
+def _same_name(a: Outline, b: Outline) -> bool:
+    return a.sign == b.sign or a.sign.split(".", 1)[0] == b.sign.split(".", 1)[0]
+
+
+def match(a: Outline, b: Outline, levels: int = MOST_LEVELS) -> tuple[int, list[tuple[Outline, Outline]]]:
+    """Simple tree matching: the score of the best order-keeping alignment, and its pairs.
+
+    Elements of one name may be aligned (2), better with the same mark (3). Equal
+    subtrees at either end of the siblings belong together in a best alignment.
+    """
+    if a.key == b.key:
+        pairs, todo = [], [(a, b)]
+        while todo:
+            x, y = todo.pop()
+            pairs.append((x, y))
+            todo.extend(zip(x.children, y.children))
+        return a.weight, pairs
+    if not _same_name(a, b):
         return 0, []
-    xs, ys = (_elements(a), _elements(b)) if depth else ([], [])
+    total, pairs = 3 if a.sign == b.sign else 2, [(a, b)]
+    xs, ys = (a.children, b.children) if levels else ([], [])
+    lo, hi = 0, 0
+    while lo < min(len(xs), len(ys)) and xs[lo].key == ys[lo].key:
+        lo += 1
+    while hi < min(len(xs), len(ys)) - lo and xs[-1 - hi].key == ys[-1 - hi].key:
+        hi += 1
+    for x, y in [*zip(xs[:lo], ys[:lo]), *(zip(xs[-hi:], ys[-hi:]) if hi else ())]:
+        got = match(x, y)
+        total += got[0]
+        pairs += got[1]
+    xs, ys = xs[lo : len(xs) - hi], ys[lo : len(ys) - hi]
+    if not xs or not ys or len(xs) * len(ys) > MOST_PAIRS:
+        return total, pairs
     score = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
     kept: dict[tuple[int, int], tuple[int, list]] = {}
     for i, x in enumerate(xs, 1):
         for j, y in enumerate(ys, 1):
-            kept[i, j] = match(x, y, depth - 1) if signature(x) == signature(y) else (0, [])
-            score[i][j] = max(score[i - 1][j], score[i][j - 1], score[i - 1][j - 1] + kept[i, j][0])
-    pairs, i, j = [(a, b)], len(xs), len(ys)
+            got = kept[i, j] = match(x, y, levels - 1)
+            score[i][j] = max(score[i - 1][j], score[i][j - 1], score[i - 1][j - 1] + got[0])
+    i, j = len(xs), len(ys)
     while i and j:
         if kept[i, j][0] and score[i][j] == score[i - 1][j - 1] + kept[i, j][0]:
             pairs += kept[i, j][1]
@@ -146,96 +230,162 @@ def match(a: Node, b: Node, depth: int = 40) -> tuple[int, list[tuple[Node, Node
             i -= 1
         else:
             j -= 1
-    return score[-1][-1] + 1, pairs
-
-
-def _paths(root: Node) -> dict[int, str]:
-    found, todo = {}, [(root, "")]
+    return total + score[-1][-1], pairs
+
+
+def propose(pages: list[str]) -> list:
+    """Anchor trees of distinct pages of one host, one for each layout."""
+    found: list[tuple[Outline, list]] = []
+    for page in pages:
+        tree = outline(parse(page))
+        if all(match(tree, other)[0] < SAME_LAYOUT * min(tree.weight, other.weight) for other, _ in found):
+            found.append((tree, _plain(tree)))
+    return [plain for _, plain in found]
+
+
+def _slots(root: Node, anchors: list[Outline]) -> dict[int, tuple[int, ...]]:
+    """The slots of each block element of a page, by the node's id: that of its own path, and the anchor's (kept apart, as other layouts may be aligned with it too)."""
+    tree = outline(root)
+    best, pairs = 0, []
+    for anchor in anchors:
+        got = match(tree, anchor)
+        if got[0] > best:
+            best, pairs = got
+    _name_slots(tree, {id(x): y.slot for x, y in pairs})
+    found, todo = {}, [tree]
     while todo:
-        node, above = todo.pop()
-        path = f"{above}/{signature(node)}"
-        found[id(node)] = path
-        todo.extend((c, path) for c in node.children if not isinstance(c, str))
+        x = todo.pop()
+        found[id(x.node)] = (x.own, _hash(x.slot, "#aligned")) if pairs else (x.own,)
+        todo.extend(x.children)
     return found
 
 
-def induce(pages: list[str]) -> dict:
-    """The wrapper of pages of one host: ``{"main": path or None, "template": paths}``."""
-    trees = [parse(p) for p in pages]
-    if len(trees) < 2:
-        return {"main": None, "template": []}
-    first, paths = trees[0], _paths(trees[0])
-    same: dict[str, int] = {}
-    seen: dict[str, int] = {}
-    varying: dict[str, int] = {}
-    for other in trees[1:]:
-        for a, b in match(first, other)[1]:
-            path, s, t = paths[id(a)], _text(a), _text(b)
-            seen[path] = seen.get(path, 0) + 1
-            if s == t:
-                same[path] = same.get(path, 0) + 1
-            else:
-                varying[path] = varying.get(path, 0) + len(s) + len(t)
-    last = lambda path: path.rsplit("/", 1)[-1].split(".", 1)[0]
-    mains = [p for p in varying if last(p) in MAIN]
-    inside = lambda p: any(q.split(".", 1)[0] in MAIN for q in p.split("/"))
-    template = sorted(p for p, n in seen.items() if same.get(p, 0) >= CONSTANT_SHARE * n and not inside(p))
-    return {"main": max(mains, key=lambda p: (varying[p], p)) if mains else None, "template": template}
-
-
-def _regions(root: Node, wanted: str | None) -> list[Node]:
-    """The outermost elements that hold the main text: those on the wrapper's path, else any article or main element."""
-    named, on_path, todo = [], [], [(root, "", False)]
+def _regions(root: Node, wanted: int | None, slots: dict[int, tuple[int, ...]]) -> list[Node]:
+    """The outermost elements that hold the main text: those in the wrapper's slot, else any article or main element."""
+    named, on_path, todo = [], [], [(root, False)]
     while todo:
-        node, above, inside = todo.pop()
-        path = f"{above}/{signature(node)}"
+        node, inside = todo.pop()
         hit = node.name in MAIN
         if hit and not inside:
             named.append(node)
-            if path == wanted:
+            if wanted in slots.get(id(node), NOWHERE):
                 on_path.append(node)
-        todo.extend((c, path, inside or hit) for c in reversed(node.children) if not isinstance(c, str) and not dropped(c, inside or hit))
+        todo.extend((c, inside or hit) for c in reversed(node.children) if not isinstance(c, str) and not dropped(c, inside or hit))
     return on_path or named
 
 
-def extract(page: str | None, wrapper: dict | None = None) -> str:
-    """The main text of ``page``, its blocks joined by line feeds."""
-    if not page:
-        return ""
-    root = parse(page)
-    wrapper = wrapper or {}
-    regions = _regions(root, wrapper.get("main"))
-    template = frozenset() if regions else frozenset(wrapper.get("template", ()))
-    blocks: list[str] = []
+def _lines(regions: list[Node], slots: dict[int, tuple[int, ...]], inside_main: bool) -> list[tuple[tuple[int, ...], str]]:
+    """The lines of text of ``regions``, each with the slots of the block element it stands in."""
+    lines: list[tuple[tuple[int, ...], str]] = []
     held: list[str] = []
 
-    def end_block():
+    def end_line(slot: tuple[int, ...]):
         line = " ".join("".join(held).split())
         held.clear()
         if line:
-            blocks.append(line)
+            lines.append((slot, line))
 
-    for region in regions or [root]:
-        todo: list = [(region, "", bool(regions))]
+    for region in regions:
+        slot = slots.get(id(region), NOWHERE)
+        todo: list = [(region, slot, inside_main)]
         while todo:
             item, above, inside = todo.pop()
             if item is None:
-                end_block()
+                end_line(above)
             elif isinstance(item, str):
                 held.append(item)
             elif item.name == "br":
                 held.append(" ")
             elif item is region or not dropped(item, inside):
-                path = f"{above}/{signature(item)}"
-                if path in template:
-                    continue
-                block = item.name in BLOCK
-                if block:
-                    end_block()
-                    todo.append((None, "", False))
-                todo.extend((c, path, inside or item.name in MAIN) for c in reversed(item.children))
-        end_block()
-    return "\n".join(blocks)
+                own = above
+                if item.name in BLOCK:
+                    end_line(above)
+                    own = slots.get(id(item), above)
+                    todo.append((None, own, False))
+                todo.extend((c, own, inside or item.name in MAIN) for c in reversed(item.children))
+        end_line(slot)
+    return lines
+
+
+def _main_slot(slot: int) -> int:
+    return _hash(slot, "#main")
+
+
+def observe(page: str | None, anchors: list[Outline]) -> list[tuple[int, int, int]]:
+    """What a page tells of its host's wrapper: ``(slot, entry, chars)``.
+
+    Entry 0 says that the page has the slot, any other that a line (or the whole
+    text of an article or main element) stands there; 1 counts characters.
+    """
+    if not page:
+        return []
+    root = parse(page)
+    slots = _slots(root, anchors)
+    regions = _regions(root, None, slots)
+    found: set[tuple[int, int, int]] = set()
+    chars: Counter = Counter()
+    for region in regions or [root]:
+        lines = _lines([region], slots, bool(regions))
+        for both, line in lines:
+            for slot in both:
+                found |= {(slot, 0, 0), (slot, _hash(slot, line), 0)}
+        whole = "\n".join(line for _, line in lines)
+        for slot in slots.get(id(region), NOWHERE) if regions else ():
+            at = _main_slot(slot)
+            chars[slot] += len(whole)
+            found |= {(at, 0, 0), (at, _hash(at, whole), 0)}
+    return [*found, *((slot, 1, n) for slot, n in chars.items())]
+
+
+def is_template(n, pages) -> bool:
+    """Whether ``n`` of the ``pages`` that have a slot make its line template (numbers or columns)."""
+    return (n >= 2) & (n >= CONSTANT_SHARE * pages)
+
+
+def induce(pages: list[str]) -> dict:
+    """The wrapper of distinct pages of one host, ``{"anchors", "template", "mains"}``."""
+    pages = sorted(set(pages))
+    plain = propose(pages[:SAMPLE_PAGES])
+    anchors = [_anchor(a) for a in plain]
+    n: Counter = Counter()
+    mains: Counter = Counter()
+    for page in pages:
+        for slot, entry, chars in observe(page, anchors):
+            if entry == 1:
+                mains[slot] += chars
+            else:
+                n[slot, entry] += 1
+    template = sorted({entry for (slot, entry), k in n.items() if entry and is_template(k, n[slot, 0])})
+    constant = {slot for (slot, entry), k in n.items() if entry and is_template(k, n[slot, 0])}
+    return {"anchors": plain, "template": template, "mains": [[k, v] for k, v in sorted(mains.items()) if _main_slot(k) not in constant]}
+
+
+class Wrapper:
+    """A host's wrapper, ready for its pages."""
+
+    def __init__(self, found: dict | None = None):
+        found = found or {}
+        self.anchors = [_anchor(a) for a in found.get("anchors", ())]
+        self.template = frozenset(found.get("template", ()))
+        self.main = max(found.get("mains") or (), key=lambda m: (m[1], m[0]), default=(None, 0))[0]
+
+
+def extract(page: str | None, wrapper: dict | Wrapper | None = None) -> str:
+    """The main text of ``page``, its blocks joined by line feeds."""
+    if not page:
+        return ""
+    w = wrapper if isinstance(wrapper, Wrapper) else Wrapper(wrapper)
+    root = parse(page)
+    regions = _regions(root, None, {})
+    slots = _slots(root, w.anchors) if w.template or len(regions) > 1 else {}
+    if len(regions) > 1:
+        regions = _regions(root, w.main, slots)
+    lines = _lines(regions or [root], slots, bool(regions))
+    template = frozenset() if regions else w.template
+    left = [line for both, line in lines if not template or all(_hash(slot, line) not in template for slot in both)]
+    if sum(map(len, left)) < LEAST_LEFT * sum(len(line) for _, line in lines):
+        left = [line for _, line in lines]
+    return "\n".join(left)
 
 
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> DataFrame:
