@@ -5,7 +5,7 @@ Every page of the host is aligned with its best anchor by simple tree matching
 over all its block elements; an aligned element takes the anchor's slot, and
 every element has the slot of its own path. The lines of text in each slot are counted
 over those pages: a line that nearly all pages with the slot
-share is template, and outside an article is left out where it stands
+share is template, inside an article as well, and is left out where it stands
 in that slot. The wrapper also says which article or main element holds the
 most varying text. Menus, adverts, forms and the like are left out by name,
 role and class besides.
@@ -381,8 +381,7 @@ def extract(page: str | None, wrapper: dict | Wrapper | None = None) -> str:
     if len(regions) > 1:
         regions = _regions(root, w.main, slots)
     lines = _lines(regions or [root], slots, bool(regions))
-    template = frozenset() if regions else w.template
-    left = [line for both, line in lines if not template or all(_hash(slot, line) not in template for slot in both)]
+    left = [line for both, line in lines if not w.template or all(_hash(slot, line) not in w.template for slot in both)]
     if sum(map(len, left)) < LEAST_LEFT * sum(len(line) for _, line in lines):
         left = [line for _, line in lines]
     return "\n".join(left)

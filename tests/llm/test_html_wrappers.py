@@ -23,3 +23,13 @@ def test_slots_of_numbered_marks_are_aligned():
     pages = [f"<body class='post-x{w}'><div id=n{w}><p>Our site</p><p>tale {w}</p></div></body>" for w in "abcd"]
     w = html_extract.induce(pages)
     assert len(w["anchors"]) == 1 and html_extract.extract(pages[2], w) == "tale c"
+
+
+def test_constant_lines_inside_articles_are_template(spark):
+    pages = [f"<body><article><h1>Head {w}</h1><div>Tell your friends</div><p>story of {w}</p><p>Read on tomorrow</p></article></body>" for w in ("one", "two", "three", "four")]
+    assert texts(spark, pages) == [f"Head {w}\nstory of {w}" for w in ("one", "two", "three", "four")]
+
+
+def test_the_article_whose_text_varies_is_the_main_one():
+    pages = [f"<body><div><article><p>Always the same offer of the same shop for everyone</p></article></div><section><article><p>news {w}</p></article></section></body>" for w in "abcd"]
+    assert [html_extract.extract(p, html_extract.induce(pages)) for p in pages] == [f"news {w}" for w in "abcd"]
