@@ -4,7 +4,7 @@ For each host a few distinct pages propose anchor trees, one for each layout.
 Every page of the host is aligned with its best anchor by simple tree matching
 over all its block elements; an aligned element takes the anchor's slot, and
 every element has the slot of its own path. The lines of text in each slot are counted
-over those pages: a line that nearly all pages with the slot
+over all distinct pages of the host: a line that nearly all pages with the slot
 share is template, inside an article as well, and is left out where it stands
 in that slot. The wrapper also says which article or main element holds the
 most varying text. Menus, adverts, forms and the like are left out by name,
@@ -25,9 +25,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.llm.common import stored
 from barloom.llm.url_filter import host_of
 
-#: Pages of a host that its wrapper is induced from, at most.
+#: Distinct pages of a host that may propose its anchor trees, at most; what is template is counted over all pages.
 SAMPLE_PAGES = 6
 #: Share of a slot's pages that must have the same line there for it to be template.
 CONSTANT_SHARE = 0.9
@@ -37,6 +38,8 @@ LEAST_LEFT = 0.1
 SAME_LAYOUT = 0.8
 #: Pairs of siblings that one alignment compares, and its levels; elements beyond keep the slots of their own paths.
 MOST_PAIRS, MOST_LEVELS = 40_000, 300
+#: Characters of anchors and templates that are broadcast; more than that meets the pages in a shuffle join.
+BROADCAST_CHARS = 16_000_000
 
 # Element names by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -343,7 +346,7 @@ def is_template(n, pages) -> bool:
 
 
 def induce(pages: list[str]) -> dict:
-    """The wrapper of distinct pages of one host, ``{"anchors", "template", "mains"}``."""
+    """The wrapper of distinct pages of one host, as ``extract_main_text`` finds it: ``{"anchors", "template", "mains"}``."""
     pages = sorted(set(pages))
     plain = propose(pages[:SAMPLE_PAGES])
     anchors = [_anchor(a) for a in plain]
@@ -387,31 +390,75 @@ def extract(page: str | None, wrapper: dict | Wrapper | None = None) -> str:
     return "\n".join(left)
 
 
+def _small(df: DataFrame, chars) -> DataFrame:
+    """``df``, marked for a broadcast if it has no more than BROADCAST_CHARS."""
+    return F.broadcast(df) if (df.agg(F.sum(chars)).first()[0] or 0) <= BROADCAST_CHARS else df
+
+
 def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> DataFrame:
     """Add ``text string, n_chars long`` to every row of ``pages``.
 
     Whole pages are read; null and empty pages have an empty text. Pages
-    without a host, and of hosts with a single page, are read without a
-    wrapper. ``sample_pages`` pages of a host, those whose text hashes lowest,
-    bound what its wrapper is induced from. Repeated rows get equal results,
-    columns named ``text`` or ``n_chars`` are replaced, all others stay; an
-    empty table gives an empty result.
-
-    The wrappers (a short row for each host) meet the pages in an equi-join on
-    the host, whose hot hosts the adaptive skew join splits.
+    without a host are read without a wrapper. ``sample_pages`` distinct pages
+    of a host, those whose text hashes lowest, propose its anchor trees; its
+    lines are counted over all its distinct pages, with partial sums. Repeated
+    rows get equal results, columns named ``text`` or ``n_chars`` are replaced,
+    all others stay; an empty table gives an empty result.
+
+    The anchors and the wrappers (a short row for each host) meet the pages in
+    a broadcast join when they are small, else in an equi-join on the host,
+    whose hot hosts the adaptive skew join splits.
     """
     left = pages.drop("text", "n_chars", "__host", "__wrapper").withColumn("__host", F.nullif(host_of(F.col(url_col)), F.lit("")))
-    by_hash = W.partitionBy("__host").orderBy(F.xxhash64("__html"), "__html")
-    # a partial top-k in each task comes before the shuffle
-    sample = left.where(F.col("__host").isNotNull() & F.col(html_col).isNotNull()).select("__host", F.col(html_col).alias("__html")).withColumn("__rn", F.row_number().over(by_hash)).where(F.col("__rn") <= sample_pages)
+    read = left.where(F.col("__host").isNotNull() & (F.length(html_col) > 0)).select("__host", F.col(html_col).alias("__html"), F.xxhash64(html_col).alias("__id"))
+    # ids of distinct pages are ranked, so copies take one place; copies of a chosen page meet in partial aggregates
+    chosen = read.select("__host", "__id").distinct().withColumn("__rn", F.row_number().over(W.partitionBy("__host").orderBy("__id"))).where(F.col("__rn") <= sample_pages).drop("__rn")
+    chosen = stored(chosen, "chosen")
+    sample = read.join(_small(chosen, F.length("__host") + 8), ["__host", "__id"]).groupBy("__host", "__id").agg(F.min("__html").alias("__html"))
 
-    def induce_host(pdf):
+    def propose_host(pdf):
         import pandas as pd
 
-        return pd.DataFrame({"__host2": [pdf["__host"].iloc[0]], "__wrapper": [json.dumps(induce(sorted(set(pdf["__html"]))))]})
+        return pd.DataFrame({"__host": [pdf["__host"].iloc[0]], "__anchors": [json.dumps(propose(list(pdf.sort_values("__id")["__html"])), separators=(",", ":"))]})
+
+    anchors = stored(sample.groupBy("__host").applyInPandas(propose_host, "__host string, __anchors string"), "anchors")
 
-    wrappers = sample.select("__host", "__html").groupBy("__host").applyInPandas(induce_host, "__host2 string, __wrapper string")
-    joined = left.join(wrappers, F.col("__host") == F.col("__host2"), "left").drop("__host", "__host2")
+    def tell(batches):
+        import pyarrow as pa
+
+        known: dict[str, list[Outline]] = {}
+        of = pa.list_(pa.struct([("slot", pa.int64()), ("entry", pa.int64()), ("chars", pa.int64())]))
+        for b in batches:
+            out, done = [], set()
+            for host, page_id, page, plain in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist()):
+                if plain not in known:
+                    if len(known) > 1_000:
+                        known = {}
+                    known[plain] = [_anchor(a) for a in json.loads(plain)]
+                # a copy in the same batch would say the same
+                out.append([] if (host, page_id) in done else [dict(zip(("slot", "entry", "chars"), x)) for x in observe(page.as_py(), known[plain])])
+                done.add((host, page_id))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, of)], names=["__host", "__id", "__seen"])
+
+    told = read.join(_small(anchors, F.length("__host") + F.length("__anchors")), "__host").select("__host", "__id", "__html", "__anchors")
+    told = told.mapInArrow(tell, "__host string, __id long, __seen array<struct<slot:long,entry:long,chars:long>>").where(F.size("__seen") > 0).dropDuplicates(["__host", "__id"])
+    seen = told.select("__host", F.inline("__seen")).groupBy("__host", "slot", "entry").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).where("n >= 2 or entry in (0, 1)")
+    seen = stored(seen, "seen")
+    total = seen.where("entry = 0").select("__host", "slot", F.col("n").alias("pages"))
+    constant = seen.where("entry not in (0, 1)").join(total, ["__host", "slot"]).where(is_template(F.col("n"), F.col("pages")))
+    by_host = constant.groupBy("__host").agg(F.to_json(F.sort_array(F.collect_set("entry"))).alias("__template"), F.collect_set("slot").alias("__fixed"))
+    main_slot = F.udf(lambda slot: _main_slot(slot), "long")
+    mains = seen.where("entry = 1").groupBy("__host").agg(F.collect_list(F.struct("slot", main_slot("slot").alias("at"), "chars")).alias("__mains"))
+    free = F.filter("__mains", lambda m: ~F.coalesce(F.array_contains("__fixed", m["at"]), F.lit(False)))
+    wrappers = anchors.join(by_host, "__host", "left").join(mains, "__host", "left").select(
+        F.col("__host").alias("__host2"),
+        F.concat(
+            F.lit('{"anchors":'), "__anchors", F.lit(',"template":'), F.coalesce("__template", F.lit("[]")),
+            F.lit(',"mains":'), F.coalesce(F.to_json(F.transform(free, lambda m: F.array(m["slot"], m["chars"]))), F.lit("[]")), F.lit("}"),
+        ).alias("__wrapper"),
+    )
+    wrappers = stored(wrappers, "wrappers")
+    joined = left.join(_small(wrappers, F.length("__host2") + F.length("__wrapper")), F.col("__host") == F.col("__host2"), "left").drop("__host", "__host2")
     at, wrapper_at = joined.columns.index(html_col), joined.columns.index("__wrapper")
     keep = [i for i, c in enumerate(joined.columns) if c != "__wrapper"]
     schema = T.StructType([*(joined.schema.fields[i] for i in keep), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
@@ -419,14 +466,14 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     def run(batches):
         import pyarrow as pa
 
-        known: dict[str | None, dict | None] = {None: None}
+        known: dict[str | None, Wrapper] = {}
         for b in batches:
             out = []
             for page, wrapper in zip(b.column(at), b.column(wrapper_at).to_pylist()):
                 if wrapper not in known:
-                    if len(known) > 10_000:
-                        known = {None: None}
-                    known[wrapper] = json.loads(wrapper)
+                    if len(known) > 1_000:
+                        known = {}
+                    known[wrapper] = Wrapper(json.loads(wrapper) if wrapper else None)
                 out.append(extract(page.as_py(), known[wrapper]))
             columns = [*(b.column(i) for i in keep), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*(b.schema.names[i] for i in keep), "text", "n_chars"])

@@ -33,3 +33,26 @@ def test_constant_lines_inside_articles_are_template(spark):
 def test_the_article_whose_text_varies_is_the_main_one():
     pages = [f"<body><div><article><p>Always the same offer of the same shop for everyone</p></article></div><section><article><p>news {w}</p></article></section></body>" for w in "abcd"]
     assert [html_extract.extract(p, html_extract.induce(pages)) for p in pages] == [f"news {w}" for w in "abcd"]
+
+
+def test_copies_do_not_hide_a_host_from_its_wrapper(spark):
+    pages = [f"<body><div>Our site</div><div class=text><p>story {w}</p></div></body>" for w in ("one", "two", "three", "four")]
+    for copied in range(4):
+        assert texts(spark, [*pages, *[pages[copied]] * 8])[:4] == ["story one", "story two", "story three", "story four"]
+
+
+def test_layouts_beyond_the_sampled_pages_are_learned(spark):
+    pages = [f"<body><{tag}><p>About {tag}</p></{tag}><div class={tag}><p>Rules of {tag}</p><p>{tag} text {i}</p></div></body>" for tag in ("section", "pre", "blockquote", "center", "dl", "ul", "ol", "table") for i in range(3)]
+    got = texts(spark, pages)
+    assert all(" text " in t and "\n" not in t for t in got)
+
+
+def test_deep_elements_are_counted_too(spark):
+    pages = [f"<body>{'<div>' * 60}<p>Our site</p><p>deep {w}</p></body>" for w in "abcd"]
+    assert texts(spark, pages) == [f"deep {w}" for w in "abcd"]
+
+
+def test_both_ways_find_one_wrapper(spark):
+    pages = [f"<body><div>Our site</div><article><p>By staff</p><p>story {w}</p></article></body>" for w in "abcdefgh"]
+    w = html_extract.induce(pages)
+    assert texts(spark, pages) == [html_extract.extract(p, w) for p in pages] == [f"story {w}" for w in "abcdefgh"]
