@@ -52,6 +52,10 @@ MAIN = ("article", "main")
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement banner sponsor sponsored promo comment comments reply replies respond disqus sidebar menu nav navigation navbar breadcrumb breadcrumbs cookie cookies consent notice notices gdpr popup modal overlay subscribe newsletter signup share sharing social related recommended footer".split()
 )
+#: A token with one of these words tells how a page looks.
+STATE_WORDS = frozenset("has no not without with free hide hidden enabled disabled".split())
+#: Elements whose content is never a page's main text.
+NEVER_MAIN = RAW | frozenset("head select object svg button canvas audio video".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 P_CLOSERS = BLOCK - {"body", "html", "option", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: An open element of the key ends where one of its values starts.
@@ -109,13 +113,55 @@ def parse(page: str) -> Node:
             stack.append(node)
 
 
-def dropped(node: Node, inside_main: bool) -> bool:
-    """Whether an element is a menu, footer, advert, form or the like by its name, role or class."""
+def _marked(mark: str) -> bool:
+    """Whether a class or id token names a part of a page to leave out; ``no-sidebar`` or ``ad-free`` say what a page is like."""
+    return any(not DROPPED_WORDS.isdisjoint(words) and STATE_WORDS.isdisjoint(words) for words in map(_WORDS.findall, mark.split()))
+
+
+def dropped(node: Node, inside_main: bool, kept: frozenset[int] = frozenset()) -> bool:
+    """Whether an element is a menu, footer, advert, form or the like by its name, role or class; those in ``kept`` never are."""
+    if id(node) in kept:
+        return False
     if node.name in DROPPED or node.role in DROPPED_ROLES:
         return True
     if node.name == "header":
         return not inside_main
-    return bool(node.mark) and node.name not in MAIN and not DROPPED_WORDS.isdisjoint(_WORDS.findall(node.mark))
+    return bool(node.mark) and node.name not in MAIN and _marked(node.mark)
+
+
+def kept_anyway(root: Node) -> frozenset[int]:
+    """Elements that are no boilerplate whatever they are called: html, body, and what holds every article and main of the page.
+
+    On a page without article and main: what holds more than half of its text
+    outside links, if only its role, its class or being a form speak against it.
+    """
+    order, todo = [], [(root, None, False)]
+    chars: dict[int, int] = {}
+    mains: dict[int, int] = {}
+    suspect = False
+    while todo:
+        node, above, link = todo.pop()
+        order.append((node, above))
+        link = link or node.name == "a"
+        mains[id(node)] = int(node.name in MAIN)
+        chars[id(node)] = 0 if link else sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        suspect = suspect or dropped(node, False)
+        todo.extend((c, node, link) for c in node.children if not isinstance(c, str) and c.name not in NEVER_MAIN)
+    if not suspect:
+        return frozenset()
+    for node, above in reversed(order):
+        if above is not None:
+            chars[id(above)] += chars[id(node)]
+            mains[id(above)] += mains[id(node)]
+    all_mains, half = mains[id(root)], chars[id(root)] / 2
+    found = set()
+    for node, _ in order:
+        at = id(node)
+        if node.name in ("html", "body") or (all_mains and mains[at] == all_mains and node.name not in MAIN):
+            found.add(at)
+        elif not all_mains and chars[at] > half and (node.name == "form" or node.name not in DROPPED | {"header"}):
+            found.add(at)
+    return frozenset(found)
 
 
 def signature(node: Node) -> str:
@@ -263,7 +309,7 @@ def _slots(root: Node, anchors: list[Outline]) -> dict[int, tuple[int, ...]]:
     return found
 
 
-def _regions(root: Node, wanted: int | None, slots: dict[int, tuple[int, ...]]) -> list[Node]:
+def _regions(root: Node, wanted: int | None, slots: dict[int, tuple[int, ...]], kept: frozenset[int]) -> list[Node]:
     """The outermost elements that hold the main text: those in the wrapper's slot, else any article or main element."""
     named, on_path, todo = [], [], [(root, False)]
     while todo:
@@ -273,11 +319,11 @@ def _regions(root: Node, wanted: int | None, slots: dict[int, tuple[int, ...]])
             named.append(node)
             if wanted in slots.get(id(node), NOWHERE):
                 on_path.append(node)
-        todo.extend((c, inside or hit) for c in reversed(node.children) if not isinstance(c, str) and not dropped(c, inside or hit))
+        todo.extend((c, inside or hit) for c in reversed(node.children) if not isinstance(c, str) and not dropped(c, inside or hit, kept))
     return on_path or named
 
 
-def _lines(regions: list[Node], slots: dict[int, tuple[int, ...]], inside_main: bool) -> list[tuple[tuple[int, ...], str]]:
+def _lines(regions: list[Node], slots: dict[int, tuple[int, ...]], inside_main: bool, kept: frozenset[int]) -> list[tuple[tuple[int, ...], str]]:
     """The lines of text of ``regions``, each with the slots of the block element it stands in."""
     lines: list[tuple[tuple[int, ...], str]] = []
     held: list[str] = []
@@ -299,7 +345,7 @@ def _lines(regions: list[Node], slots: dict[int, tuple[int, ...]], inside_main:
                 held.append(item)
             elif item.name == "br":
                 held.append(" ")
-            elif item is region or not dropped(item, inside):
+            elif item is region or not dropped(item, inside, kept):
                 own = above
                 if item.name in BLOCK:
                     end_line(above)
@@ -323,12 +369,12 @@ def observe(page: str | None, anchors: list[Outline]) -> list[tuple[int, int, in
     if not page:
         return []
     root = parse(page)
-    slots = _slots(root, anchors)
-    regions = _regions(root, None, slots)
+    slots, kept = _slots(root, anchors), kept_anyway(root)
+    regions = _regions(root, None, slots, kept)
     found: set[tuple[int, int, int]] = set()
     chars: Counter = Counter()
     for region in regions or [root]:
-        lines = _lines([region], slots, bool(regions))
+        lines = _lines([region], slots, bool(regions), kept)
         for both, line in lines:
             for slot in both:
                 found |= {(slot, 0, 0), (slot, _hash(slot, line), 0)}
@@ -379,11 +425,12 @@ def extract(page: str | None, wrapper: dict | Wrapper | None = None) -> str:
         return ""
     w = wrapper if isinstance(wrapper, Wrapper) else Wrapper(wrapper)
     root = parse(page)
-    regions = _regions(root, None, {})
+    kept = kept_anyway(root)
+    regions = _regions(root, None, {}, kept)
     slots = _slots(root, w.anchors) if w.template or len(regions) > 1 else {}
     if len(regions) > 1:
-        regions = _regions(root, w.main, slots)
-    lines = _lines(regions or [root], slots, bool(regions))
+        regions = _regions(root, w.main, slots, kept)
+    lines = _lines(regions or [root], slots, bool(regions), kept)
     left = [line for both, line in lines if not w.template or all(_hash(slot, line) not in w.template for slot in both)]
     if sum(map(len, left)) < LEAST_LEFT * sum(len(line) for _, line in lines):
         left = [line for _, line in lines]

@@ -56,3 +56,14 @@ def test_both_ways_find_one_wrapper(spark):
     pages = [f"<body><div>Our site</div><article><p>By staff</p><p>story {w}</p></article></body>" for w in "abcdefgh"]
     w = html_extract.induce(pages)
     assert texts(spark, pages) == [html_extract.extract(p, w) for p in pages] == [f"story {w}" for w in "abcdefgh"]
+
+
+def test_a_page_is_not_dropped_for_its_wrapping():
+    inner = "<nav>Menu</nav><article><p>Story</p></article><div class='sidebar'>Side</div>"
+    for page in (
+        f"<body class='has-sidebar'>{inner}", f"<body class=sidebar>{inner}", f"<div id=page class='no-sidebar'>{inner}</div>", f"<div class='ad-free'>{inner}</div>",
+        f"<form id=aspnetForm>{inner}</form>", f"<html class='cookie'><body><div class='overlay'>{inner}</div>",
+    ):
+        assert html_extract.extract(page) == "Story", page
+    assert html_extract.extract("<form><p>A story without an article, long enough to be most of the page</p><div class=menu>Menu</div></form>").startswith("A story")
+    assert html_extract.extract("<article><p>x</p><div class='cookie-notice'>c</div><form>f</form></article><div class=related><article>teaser</article></div>") == "x"
