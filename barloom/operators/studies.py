@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions.expr import lag
+from barloom.functions.expr import by_code, lag
 
 
 def resample(bars: DataFrame, unit: str) -> DataFrame:
@@ -73,6 +73,49 @@ def combo_table(d: DataFrame, names: list[str], most: int, least: int) -> DataFr
     )
 
 
+def onset_combos(d: DataFrame, names: list[str], most: int, split, least_early: int, least_late: int, quiet: int = 5) -> DataFrame:
+    """Statistics of ``ret`` at the onsets of every conjunction of up to three of the flags ``names``; ``split`` parts early from late days.
+
+    Only conjunctions that hold in a row are expanded, from its bit mask; one
+    that held in the ``quiet`` rows before is no onset. They meet again in one
+    aggregation with partial sums: at most as many groups as combinations.
+    """
+    if not 1 <= most <= 3 or len(names) > 62:
+        raise ValueError("one to three of at most 62 flags")
+    bits = sum((F.when(F.col(x), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, x in enumerate(names)), F.lit(0).cast("long"))
+    d = d.select("code", "date", "ret", bits.alias("__bits"))
+    d = d.withColumn("__before", F.collect_list("__bits").over(by_code(-quiet, -1))).where("ret is not null and __bits <> 0")
+    d = d.withColumn("__one", F.filter(F.array(*[F.lit(1 << i).cast("long") for i in range(len(names))]), lambda m: m.bitwiseAND(F.col("__bits")) != 0))
+    more = lambda below: F.flatten(F.transform(below, lambda c: F.transform(F.filter("__one", lambda m: m > c), lambda m: m.bitwiseOR(c))))
+    for k, below in (("__two", "__one"), ("__three", "__two"))[: most - 1]:
+        d = d.withColumn(k, more(below))
+    all_ = F.concat(*("__one", "__two", "__three")[:most])
+    new = F.filter(all_, lambda m: ~F.exists("__before", lambda b: b.bitwiseAND(m) == m))
+    late, mean = F.col("date") >= split, F.avg("ret")
+    return (
+        d.select("ret", late.alias("late"), F.explode(new).alias("__mask"))
+        .groupBy("__mask")
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.round(mean, 6).alias("mean_ret"),
+            F.round(mean - 1.64 * F.stddev_pop("ret") / F.sqrt(F.count(F.lit(1))), 6).alias("lower_bound"),
+            F.count_if(~F.col("late")).alias("n_early"),
+            F.round(F.avg(F.when(~F.col("late"), F.col("ret"))), 6).alias("early_mean"),
+            F.count_if("late").alias("n_late"),
+            F.round(F.avg(F.when(F.col("late"), F.col("ret"))), 6).alias("late_mean"),
+        )
+        .where((F.col("n_early") >= least_early) & (F.col("n_late") >= least_late))
+        .withColumn("combo", F.concat_ws("+", *[F.when(F.col("__mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(x)) for i, x in enumerate(names)]))
+        .drop("__mask")
+    )
+
+
+def split_day(d: DataFrame, share: float = 0.65):
+    """The day that ``share`` of the distinct days of ``d`` lie before; null for none. Days are as many as the calendar has."""
+    days = d.select("date").distinct().agg(F.sort_array(F.collect_set("date")).alias("days"))
+    return days.select(F.get("days", F.floor(F.size("days") * F.lit(share)).cast("int"))).first()[0]
+
+
 def quote_bars(quotes: DataFrame, width: str, late: str | None = None) -> DataFrame:
     """Bars of ``events (ts, event_type, value, event_id)`` by type and window; with ``late``, a watermark.
 

@@ -9,7 +9,7 @@ from barloom.functions.expr import flag, highest, lag, mean, onset, pct_rank, ti
 from barloom.operators.conditions import CANDLES, CONDITIONS, add_candles, add_conditions, events
 from barloom.operators.indicators import add_indicators, add_moving
 from barloom.operators.oscillators import OSCILLATORS, PATTERNS, add_oscillator_patterns, add_oscillators
-from barloom.operators.studies import asof_backward, combo_table, index_series, quote_bars, resample, volume_profile
+from barloom.operators.studies import asof_backward, combo_table, index_series, onset_combos, quote_bars, resample, split_day, volume_profile
 from barloom.operators.trades import barrier_exit, drawdown, horizon_return, streak, trade_stats
 from barloom.sources import market
 
@@ -204,12 +204,20 @@ def setup_stats_by_year(spark, sf):
 
 
 def combo_mine(spark, sf):
-    """All one- to three-way conjunctions of conditions: support, mean return and its lower bound in both halves of time."""
+    """One- to three-way conjunctions of twelve conditions, on all rows, split at 1995-06-01 as in its SQL; ``combo_mine_all`` mines all of them."""
     names = ["align", "ma60up", "ma120", "mom3m", "hi52", "brk20", "near20", "gc", "vol", "bigc", "up3", "bb_rev"]
     d = add_conditions(add_indicators(market.bars(spark, sf))).withColumn("ret", horizon_return(20)).where("ret is not null")
     return combo_table(d, names, 3, 60)
 
 
+def combo_mine_all(spark, sf):
+    """Onsets of all one- to three-way conjunctions of all conditions, with the least signals of each part of time; the first 65 % of the days are early."""
+    bars = market.bars(spark, sf)
+    split = split_day(bars.withColumn("ret", horizon_return(20)).where("ret is not null"))
+    d = add_conditions(add_indicators(bars)).withColumn("ret", horizon_return(20))
+    return onset_combos(d, CONDITIONS, 3, F.lit(split).cast("date"), 60, 30)
+
+
 def regime_lamps(spark, sf):
     """The index over its 60- and 20-day means, and breadth, day by day."""
     i = index_capweighted(spark, sf).withColumn("code", F.lit("index")).withColumnRenamed("log_level", "close")
@@ -262,7 +270,7 @@ QUERIES = {
     for f in (
         bars_daily, resample_weekly, resample_monthly, listing_filter, market_breadth, moving_indicators, recursive_indicators, condition_counts, candle_counts, oscillator_indicators, oscillator_counts,
         golden_cross_study, horizon_stats, barrier_sim, cross_rank, index_capweighted, sector_index, sector_leaders, drawdown_metrics, monthly_table, return_histogram,
-        flow_streak, net_buy_rank, investor_study, asof_fundamentals, volume_profiles, tick_rounding, top_movers, pattern_event_study, setup_stats_by_year, combo_mine,
+        flow_streak, net_buy_rank, investor_study, asof_fundamentals, volume_profiles, tick_rounding, top_movers, pattern_event_study, setup_stats_by_year, combo_mine, combo_mine_all,
         regime_lamps, price_alerts, portfolio_value, valuation_median, screen_metrics, quotes_hourly,
     )
 }
