@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions.expr import flag, highest, lag, mean, onset, pct_rank, tick
+from barloom.functions.expr import by_code, ewm, flag, highest, lag, mean, onset, pct_rank, rolling, tick
 from barloom.operators.conditions import CANDLES, CONDITIONS, add_candles, add_conditions, events
 from barloom.operators.indicators import add_indicators, add_moving
 from barloom.operators.oscillators import OSCILLATORS, PATTERNS, add_oscillator_patterns, add_oscillators
@@ -194,12 +194,47 @@ def pattern_event_study(spark, sf):
     return sets.agg(F.count(F.lit(1)).alias("n"), *[r(F.when(F.count(x) >= 30, F.avg(x)), 5).alias(x) for x in ("x5", "x20")])
 
 
+SETUPS = ["dip", "rsi2", "pull", "high52", "flow", "base"]
+
+
+def add_setups(d):
+    """The five setups and the 10 % base as flags, over bars with ``large`` (boolean) and ``net_a``, ``net_b`` (two groups' net buying).
+
+    Liquid is over the lowest fifth of the day by 20-day traded value: the tables have no currency for a fixed bound.
+    """
+    c, o, v, col = F.col("close"), F.col("open"), F.col("volume"), F.col
+    d = d.withColumns({f"ma{n}": mean("close", n) for n in (5, 20, 60, 200)})
+    d = d.withColumns({"__amt": c * v, "__ret1": c / lag("close") - 1, "__body": F.try_divide(c - o, o), "__vol20": mean("volume", 20, 15), "__d": c - lag("close")})
+    d = d.withColumn("__amt20", mean("__amt", 20, 15))
+    d = ewm(d, "__gain", F.when(col("__d").isNotNull(), F.greatest("__d", F.lit(0.0))), 0.5)
+    d = ewm(d, "__loss", F.when(col("__d").isNotNull(), F.greatest(-col("__d"), F.lit(0.0))), 0.5)
+    d = d.withColumn("__rsi2", 100 - 100 / (1 + F.try_divide(col("__gain"), col("__loss"))))
+    d = d.withColumn("__kb", flag((col("__ret1") >= 0.07) & (col("__body") >= 0.05) & (v >= 3 * lag("__vol20"))))
+    near = by_code(-9, 0)
+    both = F.when(col("net_a").isNotNull(), ((col("net_a") > 0) & flag(col("net_b") > 0)).cast("double"))
+    d = d.withColumns({"__recent": F.max(col("__kb").cast("int")).over(near) == 1, "__kb_open": F.last(F.when(col("__kb"), o), True).over(near), "__kb_vol": F.last(F.when(col("__kb"), v), True).over(near), "__both": both})
+    d = d.withColumns({"__both5": rolling(F.sum("__both"), "__both", 5), "__top": highest("high", 250, 200, shift=1)})
+    d = d.withColumn("__liq", flag(pct_rank("__amt20", ["date"]) > 0.2))
+    rules = {
+        "dip": col("large") & (c <= 0.88 * col("ma20")),
+        "rsi2": (c > col("ma200")) & (col("__rsi2") < 10),
+        "pull": (col("ma20") > col("ma60")) & col("__recent") & ~col("__kb") & (c < col("ma5")) & (c > col("__kb_open")) & (v < col("__kb_vol") / 3),
+        "high52": (c > col("__top")) & (col("__amt") >= 1.5 * lag("__amt20")) & (col("__body") > 0),
+        "flow": (col("__both5") >= 4) & (c > col("ma20")),
+        "base": F.pmod(F.crc32(F.concat_ws("|", "code", F.col("date").cast("string")).cast("binary")), F.lit(10)) == 0,
+    }
+    d = d.withColumns({k: flag(col("__liq") & x) for k, x in rules.items()})
+    return d.drop(*[x for x in d.columns if x.startswith("__")])
+
+
 def setup_stats_by_year(spark, sf):
-    """Dip, trend and breakout setups: ten-day trades by year."""
-    d = add_moving(market.bars(spark, sf))
-    rules = {"dip": F.col("close") <= 0.88 * F.col("ma20"), "trend": (F.col("close") > F.col("ma60")) & (F.col("close") < F.col("ma20")), "high": F.col("close") >= highest("close", 252, 120), "base": F.pmod(F.crc32(F.concat_ws("|", "code", F.col("date").cast("string")).cast("binary")), F.lit(10)) == 0}
-    d = d.withColumns({k: flag(v) for k, v in rules.items()}).withColumn("ret", horizon_return(10, 0.003))
-    e = events(d.select("code", "date", "ret", *rules), list(rules))
+    """The five setups and a base of 10 % of liquid bars: ten-day trades by year. Large is the larger half by size; the flow groups are two customer segments."""
+    sizes = market.listing(spark, sf).select("code", (F.percent_rank().over(W.orderBy("marcap")) >= 0.5).alias("large"))
+    net = lambda group: F.sum(F.when(F.col("investor") == group, F.col("net")))
+    flows = market.flows(spark, sf).groupBy("code", "date").agg(net("BUILDING").alias("net_a"), net("MACHINERY").alias("net_b"))
+    d = add_setups(market.bars(spark, sf).join(flows, ["code", "date"], "left").join(sizes, "code"))
+    d = d.withColumn("ret", horizon_return(10, 0.003))
+    e = events(d.select("code", "date", "ret", *SETUPS), SETUPS)
     return trade_stats(e.withColumn("year", F.year("date")), ["key", "year"])
 
 
