@@ -170,8 +170,52 @@ def test_keep_one_keeps_a_document_of_each_group(spark):
     kept = jaccard.keep_one(d)
     assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 3, 4] and kept.columns == d.columns
     assert jaccard.jaccard_groups(d.limit(0)).count() == 0
-    repeated = d.unionByName(d)
-    assert jaccard.jaccard_groups(repeated).count() == 5
+    groups = jaccard.jaccard_groups(d.unionByName(d)).collect()
+    assert len(groups) == 10 and {(r["id"], r["component"]) for r in groups} == {(0, 0), (1, 0), (2, 2), (3, 3), (4, 4)}
+    odd = spark.createDataFrame([(None, "a b c d e f g"), (9, "A b c d e f g"), (9, "x y z u v w"), (7, "x y z u v w"), (None, "alone here it is")], "doc_id long, text string")
+    assert sorted((r["id"] or 0, r["component"] or 0) for r in jaccard.jaccard_groups(odd).collect()) == [(0, 0), (0, 9), (7, 7), (9, 7), (9, 9)]
+
+
+def test_jaccard_blocks_of_rows_equal_brute_force(spark, monkeypatch):
+    """Near copies of one text at the edge of the bound, with columns of many rows, cut into many blocks."""
+    monkeypatch.setattr(jaccard, "JOIN_ROWS", 3)
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(jaccard, "SATURATED", 20)
+    monkeypatch.setattr(jaccard, "HELD_ENTRIES", 500)
+    rng = np.random.default_rng(8)
+    words = [f"v{i}" for i in range(100)]
+    texts = []
+    for k in range(70):
+        w = list(words)
+        for at in rng.choice(100, int(rng.integers(1, 5)), replace=False):
+            w[at] = f"n{k}x{at}"
+        texts.append(" ".join(w))
+    texts += [" ".join(words[:30] + [f"p{k}q{i}" for i in range(60)]) for k in range(10)]  # a shared passage only
+    sizes, comp = brute_jaccard(texts, 4, 85)
+    got = {r["id"]: r for r in jaccard.jaccard_groups(docs(spark, texts)).collect()}
+    assert [got[i]["component"] for i in range(len(texts))] == comp and 1 < len(set(comp)) < len(texts) - 5
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
+
+
+def test_block_links_span_what_brute_force_links():
+    rng = np.random.default_rng(9)
+    sets = [np.unique(rng.integers(0, 25, 20)) for _ in range(40)]
+    keys, sizes, comps = np.arange(40), np.array([len(s) for s in sets]), np.arange(40)
+    comps[:3] = 0
+    for sides in (np.zeros(40, int), np.arange(40) % 2):
+        found = jaccard.block_links(keys, comps, sizes, np.concatenate(sets), sides, 60)
+        links = [(i, j) for i in range(40) for j in range(40) if comps[i] != comps[j] and (sides[i] != sides[j] or not sides.any()) and len(np.intersect1d(sets[i], sets[j])) * 100 >= 60 * len(np.union1d(sets[i], sets[j]))]
+        assert set(found) <= set(links)
+
+        def classes(edges):
+            label = comps.copy()
+            for _ in range(40):
+                for i, j in edges:
+                    a, b = label[i], label[j]
+                    label[label == max(a, b)] = min(a, b)
+            return label.tolist()
+
+        assert classes(found) == classes(links) and len(found) < 40
 
 
 def test_components_of_a_long_chain(spark):
