@@ -3,8 +3,7 @@
 A text is cut at places where the tokenizer cuts as well, whatever stands on
 either side, so each chunk is encoded on its own and its ids are remembered.
 Natural text repeats its words, so most chunks cost one dictionary lookup.
-A new chunk of plain Latin text is put together from the ids of the
-tokenizer's own pre-tokens, which repeat even more.
+New chunks of plain Latin text are encoded together, as one text.
 """
 
 from __future__ import annotations
@@ -29,9 +28,10 @@ class ChunkEncoder:
     """``encode(text)``: the ids of ``text`` as little-endian unsigned 32-bit integers in bytes.
 
     Params: ``path``, a file of the tokenizers library; ``spaces``: 'dropped'
-    if the tokenizer drops white space, 'kept' if a space may belong to the
-    word after it; ``cache_chars``: the cache is emptied when the chunks in it
-    exceed so many characters, which bounds its memory.
+    if the tokenizer drops white space and marks the ends of words, 'kept' if
+    a space may belong to the word after it; ``cache_chars``: chunks are kept
+    in two generations of half as many characters each, which bounds the
+    memory; a chunk that is met again moves to the younger one.
 
     The special tokens' strings in a text are ordinary text.
     """
@@ -40,27 +40,43 @@ class ChunkEncoder:
     #: White space and then the characters up to the next space or line feed.
     _PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
     #: Characters that no normal form changes and that have one lower-case letter.
-    _PLAIN = re.compile(r"[\n\x20-\x7e\xa1-\u012f\u0131-\u017f]+")
+    _PLAIN = re.compile(r"\n?[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
+    #: A word and at most one run of signs after it.
+    _WORD = re.compile(r"[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+([!-&(-/:-@\[-`{-~]+)?")
     #: The pre-tokens of the two kinds of byte-level tokenizers.
     _PRE_TOKENS = {
         True: r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+",
         False: r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
     }
 
-    def __init__(self, path: str, spaces: str, cache_chars: int = 10_000_000):
+    def __init__(self, path: str, spaces: str, cache_chars: int = 6_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self._tok = Tokenizer.from_file(path)
         self._tok.encode_special_tokens = True
+        # the same model for pre-tokens that are cut and written in byte letters already
+        self._model = Tokenizer(self._tok.model)
+        self._model.pre_tokenizer = CharDelimiterSplit("\t")
+        vocabulary = self._tok.get_vocab(with_added_tokens=True)
         self.vocabulary = self._tok.get_vocab_size(with_added_tokens=True)
         self._dropped = spaces == "dropped"
-        self._limit, self._chars = cache_chars, 0
+        self._limit, self._chars = cache_chars // 2, 0
         self._cache: dict[str, bytes | None] = {"\0\0": None}
-        self._small: dict[str, bytes] = {}
-        self._small_chars = 0
+        self._older: dict[str, bytes | None] = {}
         self._pre_tokens = regex.compile(self._PRE_TOKENS[self._dropped]).findall
+        # byte-level alphabet: printable Latin-1 stands for itself, other bytes for letters from U+0100 on
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in printable]
+        self._letters = {b: 256 + k for k, b in enumerate(others)} | {9: 9}
+        # tokens that begin with a space or a line feed, or that end a word
+        size = 1 + max(vocabulary.values())
+        self._space, self._feed, self._end = (np.zeros(size, bool) for _ in range(3))
+        for token, i in vocabulary.items():
+            self._space[i], self._feed[i], self._end[i] = token[0] == "\u0120", token[0] == "\u010a", token.endswith("</w>")
 
     def _cut(self, text: str) -> list[str]:
         if self._dropped:
@@ -81,48 +97,43 @@ class ChunkEncoder:
 
         return np.asarray(self._tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, new: set[str]) -> None:
-        if self._small_chars > self._limit:
-            self._small.clear()
-            self._small_chars = 0
-        order, plain, small = list(new), [], self._small
-        for chunk in order:
-            known = chunk if self._dropped else self._meant(chunk)
-            if not self._PLAIN.fullmatch(known):
-                plain.append([known])
-            elif chunk.isalpha():
-                plain.append([chunk.lower() if self._dropped else known])
-            elif chunk[-1] in ".," and chunk[:-1].isalpha():  # most of the rest
-                plain.append([known[:-1].lower() if self._dropped else known[:-1], chunk[-1]])
-            else:
-                plain.append(self._pre_tokens(known.lower() if self._dropped else known))
-        unseen = list({p for parts in plain for p in parts}.difference(small))
-        self._encode(unseen)
-        self._small_chars += sum(map(len, unseen))
-        for chunk, parts in zip(order, plain):
-            self._cache[chunk] = b"".join(map(small.__getitem__, parts))
-        if not self._dropped:
-            for chunk in order:
-                # other white space before a space may be one token with it: not a safe place to cut
-                if chunk[-1:].isspace() and self._meant(chunk).strip(" \n"):
-                    self._cache[chunk] = None
-        self._chars += sum(map(len, order))
-
-    def _encode(self, parts: list[str]) -> None:
-        """Ids of pre-tokens. Those of letters only are encoded as one text, which is cheaper for each."""
+    def _learn(self, new: list[str]) -> None:
+        """New chunks. Plain ones are encoded as one text, which is cheaper for each, and told apart by their tokens."""
+        plain = [c for c in new if self._PLAIN.fullmatch(c)]
+        if self._dropped:
+            count = [1 if (m := self._WORD.fullmatch(c)) and not m[1] else 2 if m else len(self._pre_tokens(c.lower())) for c in plain]
+            self._together(plain, " ".join(plain), self._end, count)
+        else:
+            lines = [c for c in plain if c[0] == "\n"]
+            plain = [c for c in plain if c[0] != "\n"]
+            self._together(plain, " " + " ".join(plain), self._space)
+            self._together(lines, "".join(lines), self._feed)
+        rest = [c for c in new if c not in self._cache]
+        for chunk, enc in zip(rest, self._tok.encode_batch_fast(rest if self._dropped else [self._meant(c) for c in rest], add_special_tokens=False)):
+            # other white space before a space may be one token with it: not a safe place to cut
+            unsafe = not self._dropped and chunk[-1:].isspace() and self._meant(chunk).strip(" \n")
+            self._cache[chunk] = None if unsafe else b"".join(i.to_bytes(4, "little") for i in enc.ids)
+
+    def _together(self, chunks: list[str], text: str, mark, count: list[int] | None = None) -> None:
+        """Ids of the chunks of ``text``: each begins with a marked token or, by ``count``, ends with so many."""
         import numpy as np
 
-        letters = [p for p in parts if (p.isalpha() if self._dropped else p[0] == " " and p[1:].isalpha()) and self._PLAIN.fullmatch(p)]
-        if letters:
-            enc = self._tok.encode_batch_fast([(" " if self._dropped else "").join(letters)], add_special_tokens=False)[0]
-            word = np.asarray([-1 if w is None else w for w in enc.word_ids])
-            at = np.flatnonzero(np.diff(word, prepend=-1)).tolist()
-            if len(at) == len(letters):
-                ids = np.asarray(enc.ids, dtype="<u4")
-                self._small.update(zip(letters, (x.tobytes() for x in np.split(ids, at[1:]))))
-        rest = [p for p in parts if p not in self._small]
-        for part, enc in zip(rest, self._tok.encode_batch_fast(rest, add_special_tokens=False)):
-            self._small[part] = np.asarray(enc.ids, dtype="<u4").tobytes()
+        if not chunks:
+            return
+        parts = "\t".join(self._pre_tokens(text.lower() if self._dropped else text))
+        letters = parts.encode().decode("latin-1").translate(self._letters)
+        ids = np.asarray(self._model.encode_batch_fast([letters], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = np.flatnonzero(mark[ids])
+        if count is None:
+            if len(at) != len(chunks) or at[0] != 0:
+                return
+            bounds = np.append(at, len(ids))
+        else:
+            if len(at) != sum(count) or min(count) < 1 or at[-1] != len(ids) - 1:
+                return
+            bounds = np.append(0, at[np.cumsum(count) - 1] + 1)
+        raw, ends = ids.tobytes(), (4 * bounds).tolist()
+        self._cache.update(zip(chunks, [raw[a:b] for a, b in zip(ends, ends[1:])]))
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
@@ -140,12 +151,15 @@ class ChunkEncoder:
 
     def _group(self, texts: list[str]) -> list[bytes]:
         chunks = [self._cut(t) if self._dropped or "\0" not in t else ["\0\0"] for t in texts]
-        new = set().union(*chunks).difference(self._cache)
-        if new:
-            if self._chars > self._limit:
-                self._cache = {"\0\0": None}
-                self._chars, new = 0, set().union(*chunks).difference(self._cache)
-            self._learn(new)
+        if self._chars > self._limit:
+            self._older, self._cache, self._chars = self._cache, {"\0\0": None}, 0
+        missing = set().union(*chunks).difference(self._cache)
+        if missing:
+            known = missing.intersection(self._older)
+            self._cache.update((c, self._older[c]) for c in known)
+            if len(known) < len(missing):
+                self._learn(list(missing - known))
+            self._chars += sum(map(len, missing))
         get, out = self._cache.__getitem__, []
         for text, parts in zip(texts, chunks):
             try:
