@@ -67,21 +67,37 @@ def pct_rank(x: str, within: list[str]) -> Column:
     return F.when(F.col(x).isNotNull(), (F.rank().over(order) + (ties - 1) / 2) / F.count(x).over(W.partitionBy(*within)))
 
 
-def ewm(df: DataFrame, out: str, x: Column, alpha: float) -> DataFrame:
-    """Add ``out``: recursive exponential average y = (1-a) y + a x from the first value on.
+def ewm_all(df: DataFrame, series: dict[str, tuple[Column, float]]) -> DataFrame:
+    """Add a column for each name: the recursive average y = (1-a) y + a x of its (x, a), from its first value on.
 
-    ``x`` may be missing at the start of a series only. Running weighted sums
-    in blocks of EWM_BLOCK rows; the end of the last block is carried on.
+    Each ``x`` may be missing at the start of a series only. Running weighted
+    sums in blocks of EWM_BLOCK rows; the end of the last block is carried on.
+    Blocks follow the date, so windows of a code and windows of a block need
+    the same order and all series share one sort.
     """
-    d, i, b, own, end = 1.0 - alpha, "__i", "__b", "__own", "__end"
-    s = df.withColumn("__x", x).withColumn(i, F.count("__x").over(by_code(W.unboundedPreceding)) - 1)
-    s = s.withColumn(b, F.floor(F.col(i) / EWM_BLOCK)).withColumn("__k", F.col(i) % EWM_BLOCK)
-    block = W.partitionBy("code", b).orderBy("date").rowsBetween(W.unboundedPreceding, 0)
-    weight = F.when(F.col(i) == 0, 1.0).otherwise(alpha)
-    s = s.withColumn(own, F.sum(weight * F.col("__x") * F.pow(F.lit(d), -F.col("__k"))).over(block) * F.pow(F.lit(d), "__k"))
-    s = s.withColumn(end, F.last(F.when(F.col("__k") == EWM_BLOCK - 1, F.col(own)), True).over(by_code(W.unboundedPreceding, -1)))
-    value = F.col(own) + F.coalesce(F.col(end) * F.pow(F.lit(d), F.col("__k") + 1), F.lit(0.0))
-    return s.withColumn(out, F.when(F.col("__x").isNotNull(), value)).drop("__x", i, b, "__k", own, end)
+    names = list(series)
+    s = df.withColumn("__i", F.row_number().over(by_code()) - 1)
+    s = s.withColumns({"__b": F.floor(F.col("__i") / EWM_BLOCK), "__k": F.col("__i") % EWM_BLOCK} | {f"__x_{n}": x for n, (x, _) in series.items()})
+    ordered = W.partitionBy("code").orderBy("__b", "date")
+    block = W.partitionBy("code", "__b").orderBy("date").rowsBetween(W.unboundedPreceding, 0)
+    s = s.withColumns({f"__n_{n}": F.count(f"__x_{n}").over(ordered.rowsBetween(W.unboundedPreceding, 0)) for n in names})
+    own = {}
+    for n, (_, alpha) in series.items():
+        weight = F.when(F.col(f"__n_{n}") == 1, 1.0).otherwise(alpha)
+        decay = F.lit(1.0 - alpha)
+        own[f"__own_{n}"] = F.sum(weight * F.col(f"__x_{n}") * F.pow(decay, -F.col("__k"))).over(block) * F.pow(decay, F.col("__k"))
+    s = s.withColumns(own)
+    s = s.withColumns({f"__end_{n}": F.last(F.when(F.col("__k") == EWM_BLOCK - 1, F.col(f"__own_{n}")), True).over(ordered.rowsBetween(W.unboundedPreceding, -1)) for n in names})
+    out = {}
+    for n, (_, alpha) in series.items():
+        value = F.col(f"__own_{n}") + F.coalesce(F.col(f"__end_{n}") * F.pow(F.lit(1.0 - alpha), F.col("__k") + 1), F.lit(0.0))
+        out[n] = F.when(F.col(f"__x_{n}").isNotNull(), value)
+    return s.withColumns(out).drop("__i", "__b", "__k", *[f"__{p}_{n}" for n in names for p in ("x", "n", "own", "end")])
+
+
+def ewm(df: DataFrame, out: str, x: Column, alpha: float) -> DataFrame:
+    """``ewm_all`` of one series."""
+    return ewm_all(df, {out: (x, alpha)})
 
 
 def tick(p: Column) -> Column:

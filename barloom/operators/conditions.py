@@ -56,14 +56,16 @@ def add_candles(d: DataFrame) -> DataFrame:
     """Candle, moving-average and range patterns that windows express. Needs ``add_moving`` and ``atr``."""
     c, o, h, low, atr = (F.col(x) for x in ("close", "open", "high", "low", "atr"))
     col = F.col
-    body, span, up = F.abs(c - o), h - low, c > o
+    body, span, up = F.abs(c - o), F.when(h > low, h - low), c > o  # a flat bar has no range
     d = d.withColumns({"__body": body, "__up": up, "__dn": c < o, "__ut": h - F.greatest(c, o), "__lt": F.least(c, o) - low, "__vr": F.try_divide(col("volume"), col("vol_ma20")), "__r5": c / lag("close", 5) - 1, "__mid": (o + c) / 2})
     body, up, dn, ut, lt, vr, r5 = (col(x) for x in ("__body", "__up", "__dn", "__ut", "__lt", "__vr", "__r5"))
     big = body >= 0.6 * atr
-    d = d.withColumns({"__big": flag(big), "__p52h": highest("close", 252, 200, shift=1), "__p52l": rolling(F.min("close"), "close", 252, 200, 1), "__bh": highest("high", 60, shift=1), "__bl": rolling(F.min("low"), "low", 60, None, 1)})
+    d = d.withColumns({"__big": flag(big), "__rise": flag((c > o) & (body >= 0.3 * atr) & (c > lag("close"))).cast("int"), "__fall": flag((c < o) & (body >= 0.3 * atr) & (c < lag("close"))).cast("int"), "__p52h": highest("close", 252, 200, shift=1), "__p52l": rolling(F.min("close"), "close", 252, 200, 1), "__bh": highest("high", 60, shift=1), "__bl": rolling(F.min("low"), "low", 60, None, 1)})
     box = (col("__bh") / col("__bl") - 1) <= 0.25
     top3, low3 = F.greatest("ma5", "ma20", "ma60"), F.least("ma5", "ma20", "ma60")
-    full = col("ma5").isNotNull() & col("ma20").isNotNull() & col("ma60").isNotNull()
+    before = lag("__body") >= 0.8 * atr  # the bar before, against the range of today
+    inside = (F.greatest(c, o) <= F.greatest(lag("close"), lag("open"))) & (F.least(c, o) >= F.least(lag("close"), lag("open"))) & (body <= 0.5 * lag("__body"))
+    small = lag("__body") <= 0.3 * lag("__body", 2)
     rules = {
         "vol_bull": up & big & (vr >= 2) & (c > lag("close")) & (ut <= 0.5 * body),
         "vol_bear": dn & big & (vr >= 2) & (c < lag("close")),
@@ -71,17 +73,17 @@ def add_candles(d: DataFrame) -> DataFrame:
         "shooting": (ut >= 2 * body) & (lt <= 0.3 * span) & (r5 > 0.03) & (h >= highest("high", 10)),
         "bull_engulf": up & lag("__dn") & (c >= lag("open")) & (o <= lag("close")) & (r5 < 0),
         "bear_engulf": dn & lag("__up") & (c <= lag("open")) & (o >= lag("close")) & (r5 > 0),
-        "morning_star": lag("__dn", 2) & lag("__big", 2) & (lag("__body") <= 0.3 * lag("__body", 2)) & up & (c > lag("__mid", 2)),
-        "evening_star": lag("__up", 2) & lag("__big", 2) & (lag("__body") <= 0.3 * lag("__body", 2)) & dn & (c < lag("__mid", 2)),
-        "three_white": up & lag("__up") & lag("__up", 2) & (body >= 0.3 * atr) & (lag("__body") >= 0.3 * lag("atr")) & (lag("__body", 2) >= 0.3 * lag("atr", 2)) & (c > lag("close")) & (lag("close") > lag("close", 2)),
-        "three_black": dn & lag("__dn") & lag("__dn", 2) & (body >= 0.3 * atr) & (lag("__body") >= 0.3 * lag("atr")) & (lag("__body", 2) >= 0.3 * lag("atr", 2)) & (c < lag("close")) & (lag("close") < lag("close", 2)),
+        "morning_star": lag("__dn", 2) & (lag("__body", 2) >= 0.6 * atr) & small & up & (c >= lag("__mid", 2)),
+        "evening_star": lag("__up", 2) & (lag("__body", 2) >= 0.6 * atr) & small & dn & (c <= lag("__mid", 2)),
+        "three_white": rolling(F.sum("__rise"), "__rise", 3) == 3,
+        "three_black": rolling(F.sum("__fall"), "__fall", 3) == 3,
         "gap_up": low > lag("high"),
         "gap_down": h < lag("low"),
-        "doji_top": (body <= 0.1 * span) & (span > 0) & (r5 > 0.05) & (h >= highest("high", 20)),
-        "harami_bull": up & lag("__dn") & lag("__big") & (c < lag("open")) & (o > lag("close")) & (r5 < -0.03),
-        "harami_bear": dn & lag("__up") & lag("__big") & (o < lag("close")) & (c > lag("open")) & (r5 > 0.03),
-        "piercing": up & lag("__dn") & lag("__big") & (o < lag("close")) & (c > lag("__mid")) & (c < lag("open")),
-        "dark_cloud": dn & lag("__up") & lag("__big") & (o > lag("close")) & (c < lag("__mid")) & (c > lag("open")),
+        "doji_top": (body <= 0.1 * span) & (r5 > 0.05) & (h >= highest("high", 20)),
+        "harami_bull": lag("__dn") & before & inside & up & (r5 < -0.03),
+        "harami_bear": lag("__up") & before & inside & dn & (r5 > 0.03),
+        "piercing": up & lag("__dn") & before & (o < lag("close")) & (c > lag("__mid")) & (c < lag("open")),
+        "dark_cloud": dn & lag("__up") & before & (o > lag("close")) & (c < lag("__mid")) & (c > lag("open")),
         "upper_tail": (ut >= 0.55 * span) & (span >= 1.2 * atr),
         "lower_tail": (lt >= 0.55 * span) & (span >= 1.2 * atr),
         "up_streak": (c > lag("close")) & (lag("close") > lag("close", 2)) & (lag("close", 2) > lag("close", 3)) & (lag("close", 3) > lag("close", 4)) & (lag("close", 4) > lag("close", 5)),
@@ -99,11 +101,11 @@ def add_candles(d: DataFrame) -> DataFrame:
         "bb_up": crosses_up(c, col("bb_upper")),
         "bb_dn": (c < col("bb_lower")) & (lag("close") >= lag("bb_lower")),
         "env_low": low <= 0.8 * col("ma20"),
-        "half_off": c <= 0.5 * highest("high", 250, 250),
+        "half_off": c <= 0.5 * highest("high", 250, 120),
         "box_up": box & (c > col("__bh")) & (lag("close") <= lag("__bh")) & (vr >= 1.5),
         "box_dn": box & (c < col("__bl")) & (lag("close") >= lag("__bl")),
         "vol_dry": mean("volume", 5) < 0.5 * mean("volume", 60),
-        "ma_conv": full & ((top3 - low3) / c <= 0.03),
+        "ma_conv": (top3 - low3) / c <= 0.03,
         "pivot_hi": (lag("high", 5) == highest("high", 11)) & (lag("high", 5) > lag("high", 6)),
         "pivot_lo": (lag("low", 5) == rolling(F.min("low"), "low", 11)) & (lag("low", 5) < lag("low", 6)),
     }

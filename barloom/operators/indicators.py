@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions.expr import by_code, ewm, highest, lag, lowest, mean, rolling
+from barloom.functions.expr import by_code, ewm_all, highest, lag, lowest, mean, rolling
 
 
 def add_moving(df: DataFrame) -> DataFrame:
@@ -29,24 +29,35 @@ def add_moving(df: DataFrame) -> DataFrame:
 
 def add_recursive(df: DataFrame) -> DataFrame:
     """RSI(14), MACD(12, 26, 9), ATR(14), directional movement and ADX(14)."""
-    c = F.col("close")
-    change = c - lag("close")
-    df = df.withColumn("__d", change)
-    df = ewm(df, "__gain", F.when(F.col("__d").isNotNull(), F.greatest("__d", F.lit(0.0))), 1 / 14)
-    df = ewm(df, "__loss", F.when(F.col("__d").isNotNull(), F.greatest(-F.col("__d"), F.lit(0.0))), 1 / 14)
-    df = df.withColumn("rsi", 100 - 100 / (1 + F.try_divide(F.col("__gain"), F.col("__loss")))).drop("__d", "__gain", "__loss")
-    df = ewm(ewm(df, "__fast", c, 2 / 13), "__slow", c, 2 / 27).withColumn("macd", F.col("__fast") - F.col("__slow")).drop("__fast", "__slow")
-    df = ewm(df, "macd_signal", F.col("macd"), 2 / 10).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
-    before = lag("close")
-    df = df.withColumn("__tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
-    df = ewm(df, "atr", F.col("__tr"), 1 / 14).withColumn("atr_pct", F.col("atr") / c).drop("__tr")
-    df = df.withColumn("__up", F.col("high") - lag("high")).withColumn("__dn", lag("low") - F.col("low"))
-    plus = F.when((F.col("__up") > F.col("__dn")) & (F.col("__up") > 0), F.col("__up")).otherwise(0.0)
-    minus = F.when((F.col("__dn") > F.col("__up")) & (F.col("__dn") > 0), F.col("__dn")).otherwise(0.0)
-    df = ewm(ewm(df, "__p", plus, 1 / 14), "__m", minus, 1 / 14)
-    df = df.withColumn("pdi", F.try_divide(100 * F.col("__p"), F.col("atr"))).withColumn("mdi", F.try_divide(100 * F.col("__m"), F.col("atr")))
-    df = df.withColumn("__dx", F.try_divide(100 * F.abs(F.col("pdi") - F.col("mdi")), F.col("pdi") + F.col("mdi")))
-    return ewm(df, "adx", F.col("__dx"), 1 / 14).drop("__up", "__dn", "__p", "__m", "__dx")
+    c, before = F.col("close"), lag("close")
+    up, dn = F.col("__up"), F.col("__dn")
+    df = df.withColumns({"__d": c - before, "__up": F.col("high") - lag("high"), "__dn": lag("low") - F.col("low"), "__tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))})
+    change = F.col("__d")
+    df = ewm_all(
+        df,
+        {
+            "__gain": (F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), 1 / 14),
+            "__loss": (F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))), 1 / 14),
+            "__fast": (c, 2 / 13),
+            "__slow": (c, 2 / 27),
+            "atr": (F.col("__tr"), 1 / 14),
+            "__p": (F.when((up > dn) & (up > 0), up).otherwise(0.0), 1 / 14),
+            "__m": (F.when((dn > up) & (dn > 0), dn).otherwise(0.0), 1 / 14),
+        },
+    )
+    df = df.withColumns(
+        {
+            "rsi": 100 - 100 / (1 + F.try_divide(F.col("__gain"), F.col("__loss"))),
+            "macd": F.col("__fast") - F.col("__slow"),
+            "atr_pct": F.col("atr") / c,
+            "pdi": F.try_divide(100 * F.col("__p"), F.col("atr")),
+            "mdi": F.try_divide(100 * F.col("__m"), F.col("atr")),
+        }
+    )
+    dx = F.try_divide(100 * F.abs(F.col("pdi") - F.col("mdi")), F.col("pdi") + F.col("mdi"))
+    df = ewm_all(df, {"macd_signal": (F.col("macd"), 2 / 10), "adx": (dx, 1 / 14)})
+    df = df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    return df.drop("__d", "__up", "__dn", "__tr", "__gain", "__loss", "__fast", "__slow", "__p", "__m")
 
 
 def add_indicators(df: DataFrame) -> DataFrame:

@@ -44,9 +44,9 @@ def volume_profile(bars: DataFrame, days: int, bins: int) -> DataFrame:
     d = last.join(ends, "code").withColumn("width", (F.col("hi") - F.col("lo")) / bins).where("width > 0")
     d = d.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn("a", F.col("lo") + F.col("bin") * F.col("width"))
     part = F.greatest(F.lit(0.0), F.least("high", F.col("a") + F.col("width")) - F.greatest("low", F.col("a")))
-    flat = ((F.col("low") >= F.col("a")) & (F.col("low") < F.col("a") + F.col("width"))).cast("double")
+    flat = (F.col("bin") == F.least(F.lit(bins - 1), F.floor((F.col("close") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).cast("double")
     share = F.when(F.col("high") > F.col("low"), part / (F.col("high") - F.col("low"))).otherwise(flat)
-    return d.groupBy("code", "bin").agg(F.round(F.sum(F.col("amount") * share), 2).alias("value"))
+    return d.groupBy("code", "bin").agg(F.round(F.sum(F.col("volume") * F.col("close") * share), 2).alias("value"))
 
 
 def combo_table(d: DataFrame, names: list[str], most: int, least: int) -> DataFrame:

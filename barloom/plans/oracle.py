@@ -116,7 +116,8 @@ CONDITIONS = f"""c0 AS (SELECT *, coalesce(bb_width <= {roll('quantile_cont(bb_w
 def candle_rules() -> dict[str, str]:
     p = lambda x, n=1: f"b{n}_{x}"
     streak = lambda op: " AND ".join(f"{'close' if i == 0 else p('close', i)} {op} {p('close', i + 1)}" for i in range(5))
-    three = lambda side, op: f"{side} AND {p(side)} AND {p(side, 2)} AND body >= 0.3 * atr AND {p('body')} >= 0.3 * {p('atr')} AND {p('body', 2)} >= 0.3 * {p('atr', 2)} AND close {op} {p('close')} AND {p('close')} {op} {p('close', 2)}"
+    bar = lambda n: (lambda x: x if n == 0 else p(x, n))
+    three = lambda op: " AND ".join(f"{bar(n)('close')} {op} {bar(n)('open')} AND abs({bar(n)('close')} - {bar(n)('open')}) >= 0.3 * {bar(n)('atr')} AND {bar(n)('close')} {op} {p('close', n + 1)}" for n in range(3))
     down = lambda x, y: f"{x} < {y} AND {p(x)} >= {p(y)}"
     up = lambda x, y: f"{x} > {y} AND {p(x)} <= {p(y)}"
     return {
@@ -126,17 +127,17 @@ def candle_rules() -> dict[str, str]:
         "shooting": "ut >= 2 * body AND lt <= 0.3 * span AND r5 > 0.03 AND high >= high10",
         "bull_engulf": f"up AND {p('dn')} AND close >= {p('open')} AND open <= {p('close')} AND r5 < 0",
         "bear_engulf": f"dn AND {p('up')} AND close <= {p('open')} AND open >= {p('close')} AND r5 > 0",
-        "morning_star": f"{p('dn', 2)} AND {p('big', 2)} AND {p('body')} <= 0.3 * {p('body', 2)} AND up AND close > {p('mid', 2)}",
-        "evening_star": f"{p('up', 2)} AND {p('big', 2)} AND {p('body')} <= 0.3 * {p('body', 2)} AND dn AND close < {p('mid', 2)}",
-        "three_white": three("up", ">"),
-        "three_black": three("dn", "<"),
+        "morning_star": f"b2_close < b2_open AND b2_open - b2_close >= 0.6 * atr AND abs(b1_close - b1_open) <= 0.3 * abs(b2_open - b2_close) AND close > open AND close >= (b2_open + b2_close) / 2",
+        "evening_star": f"b2_close > b2_open AND b2_close - b2_open >= 0.6 * atr AND abs(b1_close - b1_open) <= 0.3 * abs(b2_open - b2_close) AND close < open AND close <= (b2_open + b2_close) / 2",
+        "three_white": three(">"),
+        "three_black": three("<"),
         "gap_up": f"low > {p('high')}",
         "gap_down": f"high < {p('low')}",
-        "doji_top": "body <= 0.1 * span AND span > 0 AND r5 > 0.05 AND high >= high20",
-        "harami_bull": f"up AND {p('dn')} AND {p('big')} AND close < {p('open')} AND open > {p('close')} AND r5 < -0.03",
-        "harami_bear": f"dn AND {p('up')} AND {p('big')} AND open < {p('close')} AND close > {p('open')} AND r5 > 0.03",
-        "piercing": f"up AND {p('dn')} AND {p('big')} AND open < {p('close')} AND close > {p('mid')} AND close < {p('open')}",
-        "dark_cloud": f"dn AND {p('up')} AND {p('big')} AND open > {p('close')} AND close < {p('mid')} AND close > {p('open')}",
+        "doji_top": "body <= 0.1 * span AND r5 > 0.05 AND high >= high20",
+        "harami_bull": "b1_close < b1_open AND b1_open - b1_close >= 0.8 * atr AND close > open AND close <= b1_open AND open >= b1_close AND close - open <= 0.5 * (b1_open - b1_close) AND r5 < -0.03",
+        "harami_bear": "b1_close > b1_open AND b1_close - b1_open >= 0.8 * atr AND close < open AND open <= b1_close AND close >= b1_open AND open - close <= 0.5 * (b1_close - b1_open) AND r5 > 0.03",
+        "piercing": "b1_close < b1_open AND b1_open - b1_close >= 0.8 * atr AND close > open AND open < b1_close AND close > (b1_open + b1_close) / 2 AND close < b1_open",
+        "dark_cloud": "b1_close > b1_open AND b1_close - b1_open >= 0.8 * atr AND close < open AND open > b1_close AND close < (b1_open + b1_close) / 2 AND close > b1_open",
         "upper_tail": "ut >= 0.55 * span AND span >= 1.2 * atr",
         "lower_tail": "lt >= 0.55 * span AND span >= 1.2 * atr",
         "up_streak": streak(">"),
@@ -158,7 +159,7 @@ def candle_rules() -> dict[str, str]:
         "box_up": f"bh / bl - 1 <= 0.25 AND close > bh AND {p('close')} <= bh AND vr >= 1.5",
         "box_dn": f"bh / bl - 1 <= 0.25 AND close < bl AND {p('close')} >= bl",
         "vol_dry": "vol5 < 0.5 * vol60",
-        "ma_conv": "ma5 IS NOT NULL AND ma20 IS NOT NULL AND ma60 IS NOT NULL AND (greatest(ma5, ma20, ma60) - least(ma5, ma20, ma60)) / close <= 0.03",
+        "ma_conv": "(greatest(ma5, ma20, ma60) - least(ma5, ma20, ma60)) / close <= 0.03",
         "pivot_hi": f"{p('high', 5)} = high11 AND {p('high', 5)} > {p('high', 6)}",
         "pivot_lo": f"{p('low', 5)} = low11 AND {p('low', 5)} < {p('low', 6)}",
     }
@@ -171,11 +172,11 @@ def _doubles(sql: str) -> str:
     return re.sub(r"(?<![\w.])(\d+\.\d+)(?!::)(?![\w.])", r"\1::DOUBLE", sql)
 
 
-_BACK = {1: "open high low close up dn big body mid atr ma20 ma60 bb_upper bb_lower", 2: "close up dn big body mid atr", 3: "close", 4: "close", 5: "close high low", 6: "high low"}
-CANDLES = f"""k0 AS (SELECT *, abs(close - open) AS body, close > open AS up, close < open AS dn, high - greatest(close, open) AS ut, least(close, open) - low AS lt, high - low AS span,
+_BACK = {1: "open high low close up dn big body mid atr ma20 ma60 bb_upper bb_lower", 2: "open close up dn big body mid atr", 3: "close", 4: "close", 5: "close high low", 6: "high low"}
+CANDLES = f"""k0 AS (SELECT *, abs(close - open) AS body, close > open AS up, close < open AS dn, high - greatest(close, open) AS ut, least(close, open) - low AS lt, nullif(high - low, 0) AS span,
     volume / nullif(vol_ma20, 0) AS vr, close / {lag('close', 5)} - 1 AS r5, (open + close) / 2 AS mid, {roll('max(close)', 'close', 252, 200, 1)} AS p52h, {roll('min(close)', 'close', 252, 200, 1)} AS p52l,
     {roll('max(high)', 'high', 60, None, 1)} AS bh, {roll('min(low)', 'low', 60, None, 1)} AS bl, {roll('min(low)', 'low', 10)} AS low10, {roll('max(high)', 'high', 10)} AS high10,
-    {roll('max(high)', 'high', 20)} AS high20, {roll('max(high)', 'high', 250)} AS high250, {roll('max(high)', 'high', 11)} AS high11, {roll('min(low)', 'low', 11)} AS low11,
+    {roll('max(high)', 'high', 20)} AS high20, {roll('max(high)', 'high', 250, 120)} AS high250, {roll('max(high)', 'high', 11)} AS high11, {roll('min(low)', 'low', 11)} AS low11,
     {roll('avg(volume)', 'volume', 5)} AS vol5, {roll('avg(volume)', 'volume', 60)} AS vol60 FROM ind),
   k1 AS (SELECT *, coalesce(body >= 0.6::DOUBLE * atr, false) AS big FROM k0),
   k2 AS (SELECT *, {", ".join(f"{lag(x, n)} AS b{n}_{x}" for n, xs in _BACK.items() for x in xs.split())} FROM k1),
@@ -246,6 +247,86 @@ def _events_sql(keys) -> str:
     return " UNION ALL ".join(f"SELECT * FROM (SELECT code, date, '{k}' AS key, r5, r20, {onset('f_' + k)} AS ev FROM flagged) WHERE ev" for k in keys)
 
 
+def _moved(x: str, a: int, b: int) -> str:
+    """Frame of rows from a to b before the current one."""
+    return f"(PARTITION BY code ORDER BY date ROWS BETWEEN {a} PRECEDING AND {b} PRECEDING)"
+
+
+def window_rules() -> dict[str, str]:
+    up = lambda x, y: f"{x} > {y} AND y_{x} <= y_{y}"
+    down = lambda x, y: f"{x} < {y} AND y_{x} >= y_{y}"
+    support = lambda m, k, n: f"y_close > y_{m} AND low <= {m} * {k} AND close >= {m} AND {m} > y{n}_{m}"
+    reject = lambda m: f"y_close < y_{m} AND high >= {m} * 0.995 AND close < {m} AND {m} < y3_{m}"
+    inner = "high3 <= y4_high AND low3 >= y4_low AND body3 <= 0.6 * abs(y4_close - y4_open) AND abs(close - open) >= 0.8 * atr"
+    swing = "whole AND "
+    return {
+        **{f"{m}_{k}": f(m) for m in ("ma5", "ma20", "ma60") for k, f in (("sup", lambda m: support(m, "1.005", 3)), ("rej", reject))},
+        "gc": up("ma5", "ma20"),
+        "dc": down("ma5", "ma20"),
+        "align_on": "rising AND NOT coalesce(y_rising, false)",
+        "align_off": "falling AND NOT coalesce(y_falling, false)",
+        "pullback": "ma20 > ma60 AND ma60 > y5_ma60 AND close / y40_close - 1 > 0.05 AND close / ma20 - 1 BETWEEN -0.02 AND 0.025 AND v5 < 0.8 * vol_ma20 AND close < c10 * 0.97",
+        "squeeze": "tight10",
+        "rsi_os": "rsi < 30",
+        "rsi_ob": "rsi > 70",
+        "macd_gc": up("macd", "macd_signal"),
+        "macd_dc": down("macd", "macd_signal"),
+        "obv_lead": "obv >= obv60 AND close < c60 * 0.97",
+        "inv_hammer": "abs(close - open) <= 0.35 * rng AND high - greatest(open, close) >= 2 * abs(close - open) AND least(open, close) - low <= 0.15 * rng AND close / y5_close - 1 < -0.04 AND low <= l10",
+        "hanging": "abs(close - open) <= 0.35 * rng AND least(open, close) - low >= 2 * abs(close - open) AND high - greatest(open, close) <= 0.15 * rng AND close / y5_close - 1 > 0.05 AND high >= h10",
+        "rising3": f"y4_close - y4_open >= 0.8 * y4_atr AND {inner} AND close > open AND close > y4_close",
+        "falling3": f"y4_open - y4_close >= 0.8 * y4_atr AND {inner} AND close < open AND close < y4_close",
+        "bear_recover": "close > bear AND y_close <= bear",
+        "limit_up": "limited",
+        "limit_dn": "close / y_close - 1 <= -lim",
+        "limit_up_pull": "low <= lmid * 1.01 AND close >= lmid AND y_low > lmid * 1.01",
+        "ma10_sup": support("ma10", "1.005", 3),
+        **{f"{m}_{k}": f for m in ("ma120", "ma240") for k, f in (("up", up("close", m)), ("dn", down("close", m)), ("sup", support(m, "1.01", 5)))},
+        "gc_120": up("ma60", "ma120"),
+        "dc_120": down("ma60", "ma120"),
+        "ma20_turn": "ma20 > y_ma20 AND falls = 10",
+        "ma_conv_up": "converged5 AND close > 1.02 * top3 AND y_close <= 1.02 * y_top3 AND volume / nullif(y_vol_ma20, 0) >= 1.5",
+        "env_high": "close > 1.2 * ma20 AND y_close <= 1.2 * y_ma20",
+        "vol_max_up": "volume >= v250 AND close > open",
+        "vol_bottom_brk": "quiet10 AND volume / nullif(y_vol_ma20, 0) >= 3 AND close > open AND close / y_close - 1 > 0.03",
+        "squeeze_brk": f"tight5 AND {up('close', 'bb_upper')}",
+        "ath": "rn > 250 AND close > top",
+        "price_corr": swing + "peak_high / peak_low - 1 >= 0.2 AND close / peak_high - 1 <= -0.15 AND days BETWEEN 3 AND 40",
+        "time_corr": swing + "peak_high / peak_low - 1 >= 0.2 AND days BETWEEN 15 AND 80 AND peak_high / after_low - 1 <= 0.15",
+        "fib_zone": swing + "peak_high / peak_low - 1 >= 0.25 AND (peak_high - close) / nullif(peak_high - peak_low, 0) BETWEEN 0.45 AND 0.66 AND days >= 3",
+        "near_high": swing + "days >= 10 AND close / peak_high - 1 >= -0.03 AND close / peak_high - 1 < 0 AND after_low / peak_high - 1 <= -0.08",
+        "fib_bounce": swing + "peak_high / peak_low - 1 >= 0.2 AND (peak_high - close) / nullif(peak_high - peak_low, 0) BETWEEN 0.382 AND 0.618 AND days >= 5 AND close > open AND close > y_close AND close - open >= 0.5 * (high - low)",
+        "island_bot": "isl_bot",
+        "island_top": "isl_top",
+    }
+
+
+def _windows() -> str:
+    back = {1: "close low ma5 ma20 ma60 ma10 ma120 ma240 macd macd_signal bb_upper rising falling vol_ma20 top3 v5 v60q", 3: "ma5 ma20 ma60 ma10", 4: "open high low close atr", 5: "close ma60 ma120 ma240", 40: "close"}
+    lags = ", ".join(f"{lag(x, n)} AS y{'' if n == 1 else n}_{x}" for n, xs in back.items() for x in xs.split())
+    return _doubles(f"""n0 AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date) AS rn, count(*) OVER (PARTITION BY code) AS total, {roll('avg(close)', 'close', 10)} AS ma10, {roll('avg(close)', 'close', 240)} AS ma240,
+    nullif(high - low, 0) AS rng, greatest(ma5, ma20, ma60) AS top3, coalesce((greatest(ma5, ma20, ma60) - least(ma5, ma20, ma60)) / close <= 0.03, false) AS converged,
+    coalesce(ma5 > ma20 AND ma20 > ma60 AND ma60 > ma120, false) AS rising, coalesce(ma5 < ma20 AND ma20 < ma60 AND ma60 < ma120, false) AS falling,
+    {roll('avg(volume)', 'volume', 5)} AS v5, {roll('quantile_cont(volume, 0.15)', 'volume', 60)} AS v60q, {roll('max(volume)', 'volume', 250, 120)} AS v250,
+    {roll('max(close)', 'close', 10)} AS c10, {roll('max(close)', 'close', 60)} AS c60, {roll('max(obv)', 'obv', 60)} AS obv60, {roll('min(low)', 'low', 10)} AS l10, {roll('max(high)', 'high', 10)} AS h10,
+    {roll('max(high)', 'high', 3, None, 1)} AS high3, {roll('min(low)', 'low', 3, None, 1)} AS low3, coalesce(bb_width <= {roll('quantile_cont(bb_width, 0.1)', 'bb_width', 120, 60)}, false) AS tight10,
+    {roll('min(low)', 'low', 120, 20)} AS least120, max(high) OVER {_moved('high', 119, 0).replace('0 PRECEDING', 'CURRENT ROW')} AS peak_high,
+    max(close) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, abs(close - open) AS body, close < open AND abs(close - open) >= 1.2 * atr AS bearish FROM ind),
+  n1 AS (SELECT *, {lags}, {roll('max(body)', 'body', 3, None, 1)} AS body3, CASE WHEN date < DATE '2015-06-15' THEN 0.145 ELSE 0.295 END AS lim,
+    last_value(CASE WHEN bearish THEN open END IGNORE NULLS) OVER {_moved('', 6, 1)} AS bear, bool_or(converged) OVER {_moved('', 5, 1)} AS converged5, bool_or(tight10) OVER {_moved('', 5, 1)} AS tight5 FROM n0),
+  n2 AS (SELECT *, coalesce(close / y_close - 1 >= lim, false) AS limited, coalesce(y_v5 <= y_v60q, false) AS quiet, coalesce(ma20 < y_ma20, false)::INT AS fell FROM n1),
+  n3 AS (SELECT *, last_value(CASE WHEN limited THEN (open + close) / 2 END IGNORE NULLS) OVER {_moved('', 11, 1)} AS lmid, sum(fell) OVER {_moved('', 10, 1)} AS falls,
+    bool_or(quiet) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS quiet10, total >= 240 AND rn >= 120 AS whole FROM n2),
+  p0 AS (SELECT a.code, a.rn, max(f.rn) AS peak FROM n3 a JOIN n3 f ON f.code = a.code AND f.rn BETWEEN a.rn - 119 AND a.rn AND f.high = a.peak_high GROUP BY 1, 2),
+  p1 AS (SELECT p0.code, p0.rn, p0.peak, any_value(b.least120) AS peak_low, min(f.low) AS lowest_since FROM p0 JOIN n3 b ON b.code = p0.code AND b.rn = p0.peak LEFT JOIN n3 f ON f.code = p0.code AND f.rn > p0.peak AND f.rn <= p0.rn GROUP BY 1, 2, 3),
+  g0 AS (SELECT code, rn, date, low > lag(high) OVER (PARTITION BY code ORDER BY date) AS gap_up, high < lag(low) OVER (PARTITION BY code ORDER BY date) AS gap_dn, lag(low) OVER (PARTITION BY code ORDER BY date) AS low0, lag(high) OVER (PARTITION BY code ORDER BY date) AS high0, high, low FROM n0),
+  g1 AS (SELECT t.code, t.rn, a.rn AS arn, any_value(t.gap_up AND a.gap_dn) AS bot, any_value(t.gap_dn AND a.gap_up) AS top, max(m.high) AS mh, min(m.low) AS ml, any_value(least(a.low0, t.low)) AS under, any_value(greatest(a.high0, t.high)) AS over
+    FROM g0 t JOIN g0 a ON a.code = t.code AND a.rn BETWEEN greatest(2, t.rn - 10) AND t.rn - 1 JOIN g0 m ON m.code = t.code AND m.rn BETWEEN a.rn AND t.rn - 1 WHERE (t.gap_up AND a.gap_dn) OR (t.gap_dn AND a.gap_up) GROUP BY 1, 2, 3),
+  g2 AS (SELECT code, rn, bool_or(bot AND mh < under) AS isl_bot, bool_or(top AND ml > over) AS isl_top FROM g1 GROUP BY 1, 2),
+  n4 AS (SELECT n3.*, n3.rn - peak AS days, peak_low, coalesce(lowest_since, peak_high) AS after_low, isl_bot, isl_top FROM n3 JOIN p1 USING (code, rn) LEFT JOIN g2 USING (code, rn)),
+  windowed AS (SELECT *, {", ".join(f"coalesce({v}, false) AS w_{k}" for k, v in window_rules().items())} FROM n4)""")
+
+
 ORACLE_SQL = {
     "bars_daily": f"WITH {BARS} SELECT code, date, open, high, low, close, volume, round(amount, 2) AS amount FROM bars",
     "resample_weekly": f"WITH {BARS}, {_resample('week')} SELECT * FROM res",
@@ -258,6 +339,7 @@ ORACLE_SQL = {
     "recursive_indicators": f"WITH {BARS}, {MOVING}, {RECURSIVE} SELECT code, date, " + ", ".join(f"round({k}, 2) AS {k}" for k in ("rsi", "macd", "macd_signal", "atr", "pdi", "mdi", "adx")) + " FROM ind",
     "condition_counts": f"WITH {BARS}, {MOVING}, {RECURSIVE}, {CONDITIONS} SELECT code, count(*) AS n_bars, " + ", ".join(f"count(*) FILTER (f_{k}) AS {k}" for k in cond_rules()) + " FROM cond GROUP BY 1",
     "candle_counts": f"WITH {BARS}, {MOVING}, {RECURSIVE}, {CANDLES} SELECT code, " + ", ".join(f"count(*) FILTER (f_{k}) AS {k}" for k in candle_rules()) + " FROM candle GROUP BY 1",
+    "window_pattern_counts": f"WITH {BARS}, {MOVING}, {RECURSIVE}, {_windows()} SELECT code, " + ", ".join(f"count(*) FILTER (w_{k}) AS {k}" for k in window_rules()) + " FROM windowed GROUP BY 1",
     "oscillator_indicators": f"WITH {BARS}, {_oscillators('bars')} SELECT code, date, " + ", ".join(k if k in OSCILLATORS[2:8] else f"round({k}, 2) AS {k}" for k in OSCILLATORS) + " FROM osc",
     "oscillator_counts": f"WITH {BARS}, {MOVING}, {RECURSIVE}, {_oscillators('ind')}, oy AS (SELECT *, {_BEFORE}, {lag('close', 26)} AS c26, {lag('close', 27)} AS c27 FROM osc) SELECT code, "
     + ", ".join(f"count(*) FILTER ({v}) AS {k}" for k, v in oscillator_rules().items())
@@ -293,17 +375,20 @@ SELECT least(20, CAST(floor(20 * (x + 0.5::DOUBLE) / 1.0::DOUBLE) AS BIGINT) + 1
 SELECT code, investor, date, net, s * coalesce(cut - 1, len) AS streak FROM s1 JOIN s2 USING (code, investor)""",
     "net_buy_rank": f"""WITH {FLOWS}, m AS (SELECT investor, code, CAST(date_trunc('month', date) AS DATE) AS month, CAST(sum(net) AS BIGINT) AS net FROM flows GROUP BY 1, 2, 3),
   k AS (SELECT *, row_number() OVER (PARTITION BY investor, month ORDER BY net DESC, code) AS rank FROM m) SELECT investor, month, rank, code, net FROM k WHERE rank <= 3""",
-    "investor_study": f"""WITH {BARS}, {FLOWS}, b AS (SELECT *, {horizon(20)} AS r0, {roll('avg(amount)', 'amount', 20)} AS val20 FROM bars), b2 AS (SELECT *, CASE WHEN abs(r0) <= 3 THEN r0 END AS ret FROM b),
-  f AS (SELECT *, count(net) OVER w AS c, sum(net) OVER w AS s FROM flows WINDOW w AS (PARTITION BY code, investor ORDER BY date ROWS 19 PRECEDING)),
-  j AS (SELECT f.investor, f.date, CASE WHEN c = 20 THEN s / val20 END AS x, ret FROM f JOIN b2 ON f.code = b2.code AND f.date = b2.date),
-  k AS (SELECT *, (rank() OVER (PARTITION BY investor, date ORDER BY x) + (count(*) OVER (PARTITION BY investor, date, x) - 1) / 2.0::DOUBLE) / count(*) OVER (PARTITION BY investor, date) AS rank FROM j WHERE x IS NOT NULL),
-  l AS (SELECT *, ret - avg(ret) OVER (PARTITION BY date, investor) AS excess FROM k WHERE ret IS NOT NULL)
-SELECT investor, count(*) AS n, round(avg(excess), 6) AS excess, round(avg(CASE WHEN excess > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate FROM l WHERE rank > 0.8::DOUBLE GROUP BY 1""",
+    "investor_study": f"""WITH {BARS}, {FLOWS}, b AS (SELECT *, close * volume AS traded, {", ".join(f"{lead('close', h)} / nullif({lead('open', 1)}, 0) - 1 AS fw{h}" for h in (5, 20, 60))} FROM bars),
+  b2 AS (SELECT *, {roll('avg(traded)', 'traded', 60, 30)} AS amt, {", ".join(f"fw{h} - avg(fw{h}) OVER (PARTITION BY date) AS fx{h}" for h in (5, 20, 60))} FROM b),
+  g AS (SELECT b2.*, i.investor, f.net FROM b2 CROSS JOIN (VALUES ('AUTOMOBILE'), ('BUILDING'), ('FURNITURE'), ('HOUSEHOLD'), ('MACHINERY')) i(investor) LEFT JOIN flows f ON f.code = b2.code AND f.date = b2.date AND f.investor = i.investor),
+  x AS (SELECT *, CASE WHEN count(net) OVER w >= 12 THEN sum(net) OVER w / nullif(amt * 20, 0) END AS x, CASE WHEN net > 0 THEN 1.0::DOUBLE WHEN net IS NOT NULL THEN 0.0::DOUBLE END AS buys FROM g WINDOW w AS (PARTITION BY code, investor ORDER BY date ROWS 19 PRECEDING)),
+  y AS (SELECT *, CASE WHEN lead(date, 19) OVER s IS NOT NULL AND count(buys) OVER w >= 10 THEN avg(buys) OVER w END AS after,
+    CASE WHEN x IS NOT NULL THEN round((rank() OVER (PARTITION BY investor, date ORDER BY x NULLS LAST) + (count(x) OVER (PARTITION BY investor, date, x) - 1) / 2.0::DOUBLE) / count(x) OVER (PARTITION BY investor, date), 9) END AS rank
+    FROM x WINDOW s AS (PARTITION BY code, investor ORDER BY date), w AS (PARTITION BY code, investor ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING))
+SELECT investor, count(*) FILTER (rank >= 0.9::DOUBLE) AS n, {", ".join(f"round(avg(fx{h}) FILTER (rank >= 0.9::DOUBLE), 6) AS excess{h}, round(avg(CASE WHEN fw{h} > 0 THEN 1.0::DOUBLE WHEN fw{h} IS NOT NULL THEN 0.0::DOUBLE END) FILTER (rank >= 0.9::DOUBLE), 6) AS win{h}" for h in (5, 20, 60))},
+  round(avg(after) FILTER (buys = 1), 6) AS persistence FROM y GROUP BY 1""",
     "asof_fundamentals": f"""WITH {BARS}, {_resample('month')}, facts AS (SELECT code, CAST(last_day(period) + INTERVAL 1 DAY AS DATE) AS date, close AS book FROM res)
 SELECT b.code, count(*) AS n, round(avg(b.close / f.book), 6) AS price_to_book, max(f.book) AS max_book FROM bars b ASOF JOIN facts f ON b.code = f.code AND b.date >= f.date GROUP BY 1""",
     "volume_profiles": f"""WITH {BARS}, v0 AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS rn FROM bars), v1 AS (SELECT *, min(low) OVER (PARTITION BY code) AS lo, max(high) OVER (PARTITION BY code) AS hi FROM v0 WHERE rn <= 120),
   v2 AS (SELECT *, (hi - lo) / 24 AS width, lo + bin * ((hi - lo) / 24) AS a FROM v1, range(24) t(bin) WHERE hi > lo)
-SELECT code, CAST(bin AS INT) AS bin, round(sum(amount * CASE WHEN high > low THEN greatest(0, least(high, a + width) - greatest(low, a)) / (high - low) ELSE CASE WHEN low >= a AND low < a + width THEN 1 ELSE 0 END END), 2) AS value FROM v2 GROUP BY 1, 2""",
+SELECT code, CAST(bin AS INT) AS bin, round(sum(volume * close * CASE WHEN high > low THEN greatest(0, least(high, a + width) - greatest(low, a)) / (high - low) WHEN least(23, floor((close - lo) / (hi - lo) * 24)) = bin THEN 1 ELSE 0 END), 2) AS value FROM v2 GROUP BY 1, 2""",
     "tick_rounding": f"""WITH {BARS}, t0 AS (SELECT close * 100 AS p FROM bars), t1 AS (SELECT p, {_TICK} AS t FROM t0)
 SELECT t, count(*) AS n, CAST(sum(CAST(floor(p / t) * t AS BIGINT)) AS BIGINT) AS down, CAST(sum(CAST(ceil(p / t) * t AS BIGINT)) AS BIGINT) AS up FROM t1 GROUP BY 1""",
     "top_movers": f"""WITH {BARS}, c AS (SELECT code, date, round(close / {lag('close')} - 1, 6) AS chg FROM bars),
@@ -316,10 +401,12 @@ SELECT * FROM k WHERE up_rank <= 5 OR down_rank <= 5""",
 SELECT key, market, count(*) AS n, round(CASE WHEN count(x5) >= 30 THEN avg(x5) END, 5) AS x5, round(CASE WHEN count(x20) >= 30 THEN avg(x20) END, 5) AS x20
 FROM e JOIN base USING (code, date) JOIN listing USING (code) GROUP BY GROUPING SETS ((key), (key, market))""",
     "combo_mine": _combo_sql(),
-    "regime_lamps": f"""WITH {BARS}, {LISTING}, {_index('')}, {_BREADTH}, l AS (SELECT date, log_level, CASE WHEN count(*) OVER w60 >= 60 THEN avg(log_level) OVER w60 END AS m60, CASE WHEN count(*) OVER w20 >= 20 THEN avg(log_level) OVER w20 END AS m20
-  FROM idx WINDOW w60 AS (ORDER BY date ROWS 59 PRECEDING), w20 AS (ORDER BY date ROWS 19 PRECEDING)),
-  f AS (SELECT l.date, coalesce(log_level > m60, false) AS over60, coalesce(log_level > m20, false) AS over20, coalesce(above_ma20 >= 0.4::DOUBLE, false) AS broad FROM l LEFT JOIN breadth USING (date))
-SELECT *, over60::INT + over20::INT + broad::INT AS lamps FROM f""",
+    "regime_lamps": f"""WITH {BARS}, {LISTING}, {_index('')}, {_BREADTH}, l0 AS (SELECT date, exp(log_level) AS level, exp(log_level) / lag(exp(log_level)) OVER (ORDER BY date) - 1 AS r FROM idx),
+  l1 AS (SELECT *, row_number() OVER (ORDER BY date) AS i, CASE WHEN count(*) OVER w60 >= 60 THEN avg(level) OVER w60 END AS m60, CASE WHEN count(*) OVER w20 >= 20 THEN avg(level) OVER w20 END AS m20, CASE WHEN count(r) OVER w20 >= 20 THEN round(stddev_samp(r) OVER w20 * sqrt(252), 9) END AS vol
+  FROM l0 WINDOW w60 AS (ORDER BY date ROWS 59 PRECEDING), w20 AS (ORDER BY date ROWS 19 PRECEDING)),
+  v AS (SELECT a.i, (count(*) FILTER (b.vol < a.vol) + (count(*) FILTER (b.vol = a.vol) + 1) / 2.0::DOUBLE) / count(b.vol) AS rank, count(b.vol) AS n FROM l1 a JOIN l1 b ON b.i BETWEEN a.i - 249 AND a.i WHERE a.vol IS NOT NULL GROUP BY 1),
+  f AS (SELECT l1.date, coalesce(level > m60, false) AS over60, coalesce(level > m20, false) AS over20, coalesce(above_ma20 >= 0.4::DOUBLE, false) AS broad, CASE WHEN n >= 120 THEN rank END AS rank FROM l1 LEFT JOIN breadth USING (date) LEFT JOIN v USING (i))
+SELECT date, over60, over20, broad, coalesce(rank < 0.85::DOUBLE, false) AS calm, round(rank, 6) AS vol_rank, over60 AND over20 AND broad AND coalesce(rank < 0.85::DOUBLE, false) AS on FROM f""",
     "price_alerts": f"""WITH {BARS}, a AS (SELECT code, date, round(close / first_value(close) OVER (PARTITION BY code ORDER BY date), 9) AS x FROM bars),
   b AS (SELECT *, CASE WHEN x >= 1.1::DOUBLE THEN 'above' WHEN x <= 0.9::DOUBLE THEN 'below' END AS side FROM a)
 SELECT code, side, count(*) AS n, min(date) AS first_day, max(date) AS last_day FROM b WHERE side IS NOT NULL GROUP BY 1, 2""",

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions.expr import by_code, ewm, flag, highest, lag, mean, onset, pct_rank, rolling, tick
+from barloom.functions.expr import by_code, ewm_all, flag, highest, lag, lead, mean, onset, pct_rank, rolling, tick
 from barloom.operators.conditions import CANDLES, CONDITIONS, add_candles, add_conditions, events
 from barloom.operators.indicators import add_indicators, add_moving
 from barloom.operators.oscillators import OSCILLATORS, PATTERNS, add_oscillator_patterns, add_oscillators
+from barloom.operators.patterns import WINDOW_PATTERNS, add_window_patterns
 from barloom.operators.studies import asof_backward, combo_table, index_series, onset_combos, quote_bars, resample, split_day, volume_profile
 from barloom.operators.trades import barrier_exit, drawdown, horizon_return, streak, trade_stats
 from barloom.sources import market
@@ -76,6 +79,12 @@ def oscillator_counts(spark, sf):
     return d.groupBy("code").agg(*[F.count_if(F.col(k)).alias(k) for k in PATTERNS])
 
 
+def window_pattern_counts(spark, sf):
+    """How often each pattern of averages, limits and swings occurs, by code."""
+    d = add_window_patterns(add_indicators(market.bars(spark, sf)))
+    return d.groupBy("code").agg(*[F.count_if(F.col(k)).alias(k) for k in WINDOW_PATTERNS])
+
+
 def golden_cross_study(spark, sf):
     d = market.bars(spark, sf).withColumns({"ma5": mean("close", 5), "ma20": mean("close", 20)})
     d = d.withColumn("gc", flag((F.col("ma5") > F.col("ma20")) & (lag("ma5") <= lag("ma20")))).withColumn("ret", horizon_return(20))
@@ -148,15 +157,34 @@ def net_buy_rank(spark, sf):
     return m.withColumn("rank", F.row_number().over(best)).where("rank <= 3").select("investor", "month", "rank", "code", "net")
 
 
+#: The customer segments of the tables, which stand for investor groups.
+INVESTORS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+
+
 def investor_study(spark, sf):
-    """20-day flow over traded value, its top fifth each day, and the excess return that follows."""
-    b = market.bars(spark, sf).withColumn("ret", horizon_return(20)).withColumn("val20", mean("amount", 20))
-    f = market.flows(spark, sf)
-    d = f.join(b, ["code", "date"]).withColumn("one", F.concat_ws("|", "code", "investor"))
-    w = W.partitionBy("one").orderBy("date").rowsBetween(-19, 0)
-    d = d.withColumn("x", F.when(F.count("net").over(w) == 20, F.sum("net").over(w) / F.col("val20"))).where("x is not null")
-    d = d.withColumn("rank", pct_rank("x", ["investor", "date"])).where("ret is not null").withColumn("excess", F.col("ret") - F.avg("ret").over(W.partitionBy("date", "investor")))
-    return d.where("rank > 0.8").groupBy("investor").agg(F.count(F.lit(1)).alias("n"), r(F.avg("excess"), 6).alias("excess"), r(F.avg((F.col("excess") > 0).cast("double")), 6).alias("win_rate"))
+    """Each group's 20-day net buying over 20 times the 60-day mean of traded value, its top tenth each day, and the return from the
+    next open over 5, 20 and 60 days, raw and less the day's mean over all codes; and how often a buying day is followed by buying in the next 20."""
+    horizons = (5, 20, 60)
+    b = market.bars(spark, sf).withColumn("amt", mean(F.col("close") * F.col("volume"), 60, 30))
+    b = b.withColumns({f"fw{h}": F.try_divide(lead("close", h), lead("open", 1)) - 1 for h in horizons})
+    b = b.withColumns({f"fx{h}": F.col(f"fw{h}") - F.avg(f"fw{h}").over(W.partitionBy("date")) for h in horizons})
+    # a row for each day of a code and group: days without a trade of the group have no net
+    f = market.flows(spark, sf).groupBy("code", "date", "investor").agg(F.sum("net").alias("net"))
+    d = b.withColumn("investor", F.explode(F.array(*[F.lit(g) for g in INVESTORS])))
+    d = d.join(f, ["code", "date", "investor"], "left").withColumn("one", F.concat_ws("|", "code", "investor"))
+    w = lambda a, z: W.partitionBy("one").orderBy("date").rowsBetween(a, z)
+    strength = F.when(F.count("net").over(w(-19, 0)) >= 12, F.try_divide(F.sum("net").over(w(-19, 0)), F.col("amt") * 20))
+    buys = F.when(F.col("net").isNotNull(), (F.col("net") > 0).cast("double"))
+    d = d.withColumns({"x": strength, "buys": buys})
+    d = d.withColumn("after", F.when((F.count("buys").over(w(1, 20)) >= 10) & F.lead("date", 19).over(W.partitionBy("one").orderBy("date")).isNotNull(), F.avg("buys").over(w(1, 20))))
+    d = d.withColumn("top", flag(F.round(pct_rank("x", ["investor", "date"]), 9) >= 0.9))
+    of = lambda x: F.when(F.col("top"), F.col(x))
+    return d.groupBy("investor").agg(
+        F.count_if("top").alias("n"),
+        *[r(F.avg(of(f"fx{h}")), 6).alias(f"excess{h}") for h in horizons],
+        *[r(F.avg((of(f"fw{h}") > 0).cast("double")), 6).alias(f"win{h}") for h in horizons],
+        r(F.avg(F.when(F.col("buys") == 1, F.col("after"))), 6).alias("persistence"),
+    )
 
 
 def asof_fundamentals(spark, sf):
@@ -206,8 +234,8 @@ def add_setups(d):
     d = d.withColumns({f"ma{n}": mean("close", n) for n in (5, 20, 60, 200)})
     d = d.withColumns({"__amt": c * v, "__ret1": c / lag("close") - 1, "__body": F.try_divide(c - o, o), "__vol20": mean("volume", 20, 15), "__d": c - lag("close")})
     d = d.withColumn("__amt20", mean("__amt", 20, 15))
-    d = ewm(d, "__gain", F.when(col("__d").isNotNull(), F.greatest("__d", F.lit(0.0))), 0.5)
-    d = ewm(d, "__loss", F.when(col("__d").isNotNull(), F.greatest(-col("__d"), F.lit(0.0))), 0.5)
+    known = col("__d").isNotNull()
+    d = ewm_all(d, {"__gain": (F.when(known, F.greatest("__d", F.lit(0.0))), 0.5), "__loss": (F.when(known, F.greatest(-col("__d"), F.lit(0.0))), 0.5)})
     d = d.withColumn("__rsi2", 100 - 100 / (1 + F.try_divide(col("__gain"), col("__loss"))))
     d = d.withColumn("__kb", flag((col("__ret1") >= 0.07) & (col("__body") >= 0.05) & (v >= 3 * lag("__vol20"))))
     near = by_code(-9, 0)
@@ -254,13 +282,18 @@ def combo_mine_all(spark, sf):
 
 
 def regime_lamps(spark, sf):
-    """The index over its 60- and 20-day means, and breadth, day by day."""
-    i = index_capweighted(spark, sf).withColumn("code", F.lit("index")).withColumnRenamed("log_level", "close")
-    i = i.withColumn("m60", mean("close", 60)).withColumn("m20", mean("close", 20))
-    b = market_breadth(spark, sf)
-    d = i.join(b, "date", "left")
-    lamps = [flag(F.col("close") > F.col("m60")), flag(F.col("close") > F.col("m20")), flag(F.col("above_ma20") >= 0.4)]
-    return d.select("date", *[x.alias(n) for x, n in zip(lamps, ("over60", "over20", "broad"))], sum((x.cast("int") for x in lamps), F.lit(0)).alias("lamps"))
+    """Market lamps day by day: the index over its 60- and 20-day means, breadth of 40 %, volatility below the top 15 % of a year; on if all are."""
+    i = index_capweighted(spark, sf).select("date", F.lit("index").alias("code"), F.exp("log_level").alias("level"))
+    i = i.withColumns({"m60": mean("level", 60), "m20": mean("level", 20), "__r": F.col("level") / lag("level") - 1})
+    i = i.withColumn("vol", F.round(rolling(F.stddev_samp("__r"), "__r", 20) * math.sqrt(252), 9))
+    year = F.collect_list("vol").over(by_code(-249, 0))  # at most 250 values
+    below, same = F.size(F.filter("__year", lambda x: x < F.col("vol"))), F.size(F.filter("__year", lambda x: x == F.col("vol")))
+    i = i.withColumn("__year", year)
+    i = i.withColumn("vol_rank", F.when(F.col("vol").isNotNull() & (F.size("__year") >= 120), (below + (same + 1) / 2) / F.size("__year")))
+    d = i.join(market_breadth(spark, sf), "date", "left")
+    lamps = {"over60": F.col("level") > F.col("m60"), "over20": F.col("level") > F.col("m20"), "broad": F.col("above_ma20") >= 0.4, "calm": F.col("vol_rank") < 0.85}
+    d = d.withColumns({k: flag(x) for k, x in lamps.items()})
+    return d.select("date", *lamps, r("vol_rank", 6).alias("vol_rank"), (F.col("over60") & F.col("over20") & F.col("broad") & F.col("calm")).alias("on"))
 
 
 def price_alerts(spark, sf):
@@ -303,7 +336,7 @@ def quotes_hourly(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        bars_daily, resample_weekly, resample_monthly, listing_filter, market_breadth, moving_indicators, recursive_indicators, condition_counts, candle_counts, oscillator_indicators, oscillator_counts,
+        bars_daily, resample_weekly, resample_monthly, listing_filter, market_breadth, moving_indicators, recursive_indicators, condition_counts, candle_counts, window_pattern_counts, oscillator_indicators, oscillator_counts,
         golden_cross_study, horizon_stats, barrier_sim, cross_rank, index_capweighted, sector_index, sector_leaders, drawdown_metrics, monthly_table, return_histogram,
         flow_streak, net_buy_rank, investor_study, asof_fundamentals, volume_profiles, tick_rounding, top_movers, pattern_event_study, setup_stats_by_year, combo_mine, combo_mine_all,
         regime_lamps, price_alerts, portfolio_value, valuation_median, screen_metrics, quotes_hourly,

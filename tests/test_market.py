@@ -15,7 +15,7 @@ from barloom.plans.queries import QUERIES
 from pyspark.sql import functions as F
 
 TABLES = "customer lineitem orders part events".split()
-FAST = ["bars_daily", "market_breadth", "moving_indicators", "cross_rank", "flow_streak", "asof_fundamentals", "tick_rounding", "golden_cross_study", "horizon_stats", "quotes_hourly"]
+FAST = ["bars_daily", "market_breadth", "moving_indicators", "cross_rank", "flow_streak", "asof_fundamentals", "tick_rounding", "golden_cross_study", "horizon_stats", "quotes_hourly", "recursive_indicators", "candle_counts", "window_pattern_counts", "condition_counts", "investor_study", "regime_lamps", "volume_profiles"]
 
 
 def rows(frame: pd.DataFrame) -> list:
