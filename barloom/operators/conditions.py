@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.expr import crosses_up, flag, highest, lag, mean, onset, rolling
+from barloom.functions.expr import by_code, crosses_up, flag, highest, lag, mean, rolling
 
 CONDITIONS = [
     "align", "ma60up", "ma20_60", "ma120", "adx_up", "mom3m", "hi52", "brk20", "sqz", "rsi_pb", "near20", "rsi_os",
@@ -112,9 +112,13 @@ def add_candles(d: DataFrame) -> DataFrame:
     return d.withColumns({k: flag(v) for k, v in rules.items()}).drop(*[x for x in d.columns if x.startswith("__")])
 
 
-def events(d: DataFrame, names: list[str]) -> DataFrame:
-    """Long form of the onsets of flags: code, date, key and the other columns of ``d``."""
-    on = d.withColumns({f"__on_{k}": onset(F.col(k)) for k in names})
+def events(d: DataFrame, names: list[str], quiet: int = 5) -> DataFrame:
+    """Long form of the onsets of flags: the columns of ``d`` besides them, and ``key``.
+
+    A flag that was set in the ``quiet`` rows before is no onset. The flags of
+    a row are one array, so one window serves all of them.
+    """
     others = [x for x in d.columns if x not in names]
-    pairs = F.array_compact(F.array(*[F.when(F.col(f"__on_{k}"), F.lit(k)) for k in names]))
-    return on.select(*others, F.explode(pairs).alias("key"))
+    true = F.array_compact(F.array(*[F.when(F.col(k), F.lit(k)) for k in names]))
+    rows = d.select(*others, true.alias("__true")).withColumn("__before", F.flatten(F.collect_list("__true").over(by_code(-quiet, -1))))
+    return rows.select(*others, F.explode(F.array_except("__true", "__before")).alias("key"))

@@ -243,8 +243,24 @@ SELECT combo, count(*) AS n, round(avg(ret), 6) AS mean_ret, round(avg(ret) - 1.
 FROM b JOIN combos ON (bits & mask) = mask WHERE ret IS NOT NULL AND abs(ret) <= 3 GROUP BY combo HAVING count(*) >= 60"""
 
 
-def _events_sql(keys) -> str:
-    return " UNION ALL ".join(f"SELECT * FROM (SELECT code, date, '{k}' AS key, r5, r20, {onset('f_' + k)} AS ev FROM flagged) WHERE ev" for k in keys)
+def _study_sql() -> str:
+    keys = [("f_" + k, k) for k in candle_rules()] + [("w_" + k, k) for k in window_rules()]
+    listed = ", ".join(f"CASE WHEN {f} THEN '{k}' END" for f, k in keys)
+    flags = ", ".join(f for f, _ in keys)
+    figures = ", ".join(
+        f"count(r{h}) AS n{h}, round(CASE WHEN count(r{h}) >= 30 OR key = '_base' THEN avg(r{h}) END, 5) AS mean{h}, round(CASE WHEN count(r{h}) >= 30 AND key <> '_base' THEN avg(x{h}) END, 5) AS excess{h}, "
+        f"round(CASE WHEN count(r{h}) >= 30 OR key = '_base' THEN avg(CASE WHEN r{h} > 0 THEN 1.0::DOUBLE WHEN r{h} IS NOT NULL THEN 0.0::DOUBLE END) END, 5) AS win{h}"
+        for h in (5, 20)
+    )
+    source = _windows().replace("FROM ind)", "FROM candle)", 1)
+    return f"""WITH {BARS}, {LISTING}, {MOVING}, {RECURSIVE}, {CANDLES}, {source}, third AS (SELECT code, CASE ntile(3) OVER (ORDER BY marcap DESC, code) WHEN 1 THEN 'L' WHEN 2 THEN 'M' ELSE 'S' END AS size FROM listing),
+  q AS (SELECT code, date, rn, total, {flags}, {horizon(5)} AS q5, {horizon(20)} AS q20 FROM windowed),
+  h AS (SELECT *, CASE WHEN rn > 130 AND total >= 160 AND abs(q5) <= 3 THEN q5 END AS r5, CASE WHEN rn > 130 AND total >= 160 AND abs(q20) <= 3 THEN q20 END AS r20 FROM q),
+  x AS (SELECT *, r5 - avg(r5) OVER (PARTITION BY date) AS x5, r20 - avg(r20) OVER (PARTITION BY date) AS x20 FROM h),
+  long AS (SELECT code, rn, unnest(list_filter([{listed}], lambda k: k IS NOT NULL)) AS key FROM x),
+  first AS (SELECT *, lag(rn) OVER (PARTITION BY code, key ORDER BY rn) AS last FROM long),
+  e AS (SELECT code, rn, key FROM first WHERE last IS NULL OR rn - last > 5 UNION ALL SELECT code, rn, '_base' FROM x)
+SELECT key, size, count(*) AS n, {figures} FROM e JOIN x USING (code, rn) JOIN third USING (code) WHERE rn > 130 AND total >= 160 GROUP BY GROUPING SETS ((key), (key, size))"""
 
 
 def _moved(x: str, a: int, b: int) -> str:
@@ -394,12 +410,7 @@ SELECT t, count(*) AS n, CAST(sum(CAST(floor(p / t) * t AS BIGINT)) AS BIGINT) A
     "top_movers": f"""WITH {BARS}, c AS (SELECT code, date, round(close / {lag('close')} - 1, 6) AS chg FROM bars),
   k AS (SELECT date, code, chg, row_number() OVER (PARTITION BY date ORDER BY chg DESC, code) AS up_rank, row_number() OVER (PARTITION BY date ORDER BY chg, code) AS down_rank FROM c WHERE chg IS NOT NULL)
 SELECT * FROM k WHERE up_rank <= 5 OR down_rank <= 5""",
-    "pattern_event_study": f"""WITH {BARS}, {LISTING}, {MOVING}, {RECURSIVE}, {CANDLES}, q AS (SELECT *, {horizon(5)} AS q5, {horizon(20)} AS q20 FROM candle),
-  flagged AS (SELECT *, CASE WHEN abs(q20) <= 3 THEN q20 END AS r20, CASE WHEN abs(q5) <= 3 THEN q5 END AS h5 FROM q),
-  base AS (SELECT code, date, h5 - avg(h5) OVER (PARTITION BY date) AS x5, r20 - avg(r20) OVER (PARTITION BY date) AS x20 FROM flagged),
-  e AS ({_events_sql(candle_rules())})
-SELECT key, market, count(*) AS n, round(CASE WHEN count(x5) >= 30 THEN avg(x5) END, 5) AS x5, round(CASE WHEN count(x20) >= 30 THEN avg(x20) END, 5) AS x20
-FROM e JOIN base USING (code, date) JOIN listing USING (code) GROUP BY GROUPING SETS ((key), (key, market))""",
+    "pattern_event_study": _study_sql(),
     "combo_mine": _combo_sql(),
     "regime_lamps": f"""WITH {BARS}, {LISTING}, {_index('')}, {_BREADTH}, l0 AS (SELECT date, exp(log_level) AS level, exp(log_level) / lag(exp(log_level)) OVER (ORDER BY date) - 1 AS r FROM idx),
   l1 AS (SELECT *, row_number() OVER (ORDER BY date) AS i, CASE WHEN count(*) OVER w60 >= 60 THEN avg(level) OVER w60 END AS m60, CASE WHEN count(*) OVER w20 >= 20 THEN avg(level) OVER w20 END AS m20, CASE WHEN count(r) OVER w20 >= 20 THEN round(stddev_samp(r) OVER w20 * sqrt(252), 9) END AS vol

@@ -211,15 +211,34 @@ def top_movers(spark, sf):
     return d.where("up_rank <= 5 or down_rank <= 5").select("date", "code", "chg", "up_rank", "down_rank")
 
 
+#: Rows of a code before its patterns count, and rows that a code needs.
+WARM, WHOLE = 130, 160
+
+
 def pattern_event_study(spark, sf):
-    """Onsets of patterns: next-open entry, 5- and 20-day exit less the day's mean; by pattern and by pattern and market."""
-    d = add_candles(add_indicators(market.bars(spark, sf))).withColumns({"r5": horizon_return(5), "r20": horizon_return(20)})
-    day = W.partitionBy("date")
-    e = events(d.select("code", "date", "r5", "r20", *CANDLES), CANDLES)
-    base = d.select("code", "date", (F.col("r5") - F.avg("r5").over(day)).alias("x5"), (F.col("r20") - F.avg("r20").over(day)).alias("x20"))
-    e = e.join(base, ["code", "date"]).join(market.listing(spark, sf).select("code", "market"), "code")
-    sets = e.groupingSets([["key"], ["key", "market"]], "key", "market")
-    return sets.agg(F.count(F.lit(1)).alias("n"), *[r(F.when(F.count(x) >= 30, F.avg(x)), 5).alias(x) for x in ("x5", "x20")])
+    """What follows the onset of each candle and window pattern: bought at the next open, sold at the close 5 and 20 days on.
+
+    Mean, mean less the day's mean over all codes, share of gains and their number (30 at least), over all codes and by size
+    (large, middle, small: thirds by capitalisation). Rows of key ``_base`` hold the same for all days of all codes.
+    """
+    horizons = (5, 20)
+    third = F.ntile(3).over(W.orderBy(F.desc("marcap"), "code"))
+    sizes = market.listing(spark, sf).select("code", F.element_at(F.array(F.lit("L"), F.lit("M"), F.lit("S")), third).alias("size"))
+    d = add_window_patterns(add_candles(add_indicators(market.bars(spark, sf))))
+    d = d.withColumns({"rn": F.row_number().over(by_code()), "rows": F.count(F.lit(1)).over(W.partitionBy("code")), **{f"r{h}": horizon_return(h) for h in horizons}})
+    d = d.withColumns({f"r{h}": F.when((F.col("rn") > WARM) & (F.col("rows") >= WHOLE), F.col(f"r{h}")) for h in horizons})
+    d = d.withColumns({f"x{h}": F.col(f"r{h}") - F.avg(f"r{h}").over(W.partitionBy("date")) for h in horizons}).join(F.broadcast(sizes), "code")
+    keys, kept = [*CANDLES, *WINDOW_PATTERNS], ["code", "date", "size", "rn", "rows", *[f"{x}{h}" for h in horizons for x in "rx"]]
+    on = events(d.select(*kept, *keys), keys)
+    every = d.select(*kept, F.lit("_base").alias("key"))
+    warm = on.unionByName(every).where((F.col("rn") > WARM) & (F.col("rows") >= WHOLE))
+    found = warm.groupingSets([["key"], ["key", "size"]], "key", "size")
+    enough = lambda h, x: F.when((F.count(f"r{h}") >= 30) | (F.col("key") == "_base"), x)
+    out = {"n": F.count(F.lit(1))}
+    for h in horizons:
+        gain = F.avg((F.col(f"r{h}") > 0).cast("double"))
+        out |= {f"n{h}": F.count(f"r{h}"), f"mean{h}": r(enough(h, F.avg(f"r{h}")), 5), f"excess{h}": r(enough(h, F.when(F.col("key") != "_base", F.avg(f"x{h}"))), 5), f"win{h}": r(enough(h, gain), 5)}
+    return found.agg(*[x.alias(k) for k, x in out.items()])
 
 
 SETUPS = ["dip", "rsi2", "pull", "high52", "flow", "base"]
