@@ -49,15 +49,15 @@ def volume_profile(bars: DataFrame, days: int, bins: int) -> DataFrame:
     return d.groupBy("code", "bin").agg(F.round(F.sum(F.col("volume") * F.col("close") * share), 2).alias("value"))
 
 
-def combo_table(d: DataFrame, names: list[str], most: int, least: int) -> DataFrame:
-    """Statistics of ``ret`` for every conjunction of up to ``most`` of the flags ``names``.
+def combo_table(d: DataFrame, names: list[str], most: int, least: int, split) -> DataFrame:
+    """Statistics of ``ret`` for every conjunction of up to ``most`` of the flags ``names``; ``split`` parts early from late days.
 
     A row's conjunctions are expanded in the row and meet again in one
     aggregation with partial sums: at most as many groups as combinations.
     """
     combos = [c for k in range(1, most + 1) for c in combinations(names, k)]
     true = [F.when(F.expr(" and ".join(c)), F.lit("+".join(c))) for c in combos]
-    half = F.col("date") >= F.lit("1995-06-01").cast("date")
+    half = F.col("date") >= split
     long = d.select("ret", half.alias("late"), F.explode(F.array_compact(F.array(*true))).alias("combo"))
     mean = F.avg("ret")
     return (

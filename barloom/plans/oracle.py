@@ -232,15 +232,64 @@ _COMBO = ["align", "ma60up", "ma120", "mom3m", "hi52", "brk20", "near20", "gc",
 _TICK = "CASE WHEN p < 2000 THEN 1 WHEN p < 5000 THEN 5 WHEN p < 20000 THEN 10 WHEN p < 50000 THEN 50 WHEN p < 200000 THEN 100 WHEN p < 500000 THEN 500 ELSE 1000 END"
 
 
-def _combo_sql() -> str:
+_SPLIT = """days AS (SELECT DISTINCT date FROM (SELECT date, {ret} AS ret FROM bars) WHERE abs(ret) <= 3),
+  split AS (SELECT date AS split FROM (SELECT date, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS n FROM days) WHERE i = floor(n * 0.65::DOUBLE) + 1)"""
+
+
+def _combos(names: list[str]) -> tuple[str, str]:
+    """Values (combination, bit mask) of one to three names, and the bits of a row."""
     from itertools import combinations
 
-    rows = ", ".join(f"('{'+'.join(c)}', {sum(1 << _COMBO.index(x) for x in c)})" for k in (1, 2, 3) for c in combinations(_COMBO, k))
-    bits = " + ".join(f"CASE WHEN f_{x} THEN {1 << i} ELSE 0 END" for i, x in enumerate(_COMBO))
-    return f"""WITH {BARS}, {MOVING}, {RECURSIVE}, {CONDITIONS}, b AS (SELECT date, {bits} AS bits, {horizon(20)} AS ret FROM cond), combos(combo, mask) AS (VALUES {rows})
+    rows = ", ".join(f"('{'+'.join(c)}', {sum(1 << names.index(x) for x in c)})" for k in (1, 2, 3) for c in combinations(names, k))
+    return rows, " + ".join(f"CASE WHEN f_{x} THEN {1 << i} ELSE 0 END" for i, x in enumerate(names))
+
+
+def _combo_sql() -> str:
+    rows, bits = _combos(_COMBO)
+    return f"""WITH {BARS}, {MOVING}, {RECURSIVE}, {CONDITIONS}, {_SPLIT.format(ret=horizon(20))}, b AS (SELECT date, {bits} AS bits, {horizon(20)} AS ret FROM cond), combos(combo, mask) AS (VALUES {rows})
 SELECT combo, count(*) AS n, round(avg(ret), 6) AS mean_ret, round(avg(ret) - 1.64 * stddev_pop(ret) / sqrt(count(*)), 6) AS lower_bound,
-  round(avg(ret) FILTER (date < DATE '1995-06-01'), 6) AS early_mean, round(avg(ret) FILTER (date >= DATE '1995-06-01'), 6) AS late_mean
-FROM b JOIN combos ON (bits & mask) = mask WHERE ret IS NOT NULL AND abs(ret) <= 3 GROUP BY combo HAVING count(*) >= 60"""
+  round(avg(ret) FILTER (date < split), 6) AS early_mean, round(avg(ret) FILTER (date >= split), 6) AS late_mean
+FROM b JOIN combos ON (bits & mask) = mask CROSS JOIN split WHERE abs(ret) <= 3 GROUP BY combo HAVING count(*) >= 60"""
+
+
+def _combo_all_sql() -> str:
+    rows, bits = _combos(list(cond_rules()))
+    before = " AND ".join(f"coalesce(b{n} & mask, 0) <> mask" for n in range(1, 6))
+    return f"""WITH {BARS}, {MOVING}, {RECURSIVE}, {CONDITIONS}, {_SPLIT.format(ret=horizon(20))}, b0 AS (SELECT code, date, {bits} AS bits, {horizon(20)} AS ret FROM cond),
+  b AS (SELECT *, {", ".join(f"{lag('bits', n)} AS b{n}" for n in range(1, 6))} FROM b0), combos(combo, mask) AS (VALUES {rows})
+SELECT combo, count(*) AS n, round(avg(ret), 6) AS mean_ret, round(avg(ret) - 1.64 * stddev_pop(ret) / sqrt(count(*)), 6) AS lower_bound,
+  count(*) FILTER (date < split) AS n_early, round(avg(ret) FILTER (date < split), 6) AS early_mean, count(*) FILTER (date >= split) AS n_late, round(avg(ret) FILTER (date >= split), 6) AS late_mean
+FROM b JOIN combos ON (bits & mask) = mask CROSS JOIN split WHERE abs(ret) <= 3 AND {before} GROUP BY combo HAVING count(*) FILTER (date < split) >= 60 AND count(*) FILTER (date >= split) >= 30"""
+
+
+def _setups_sql() -> str:
+    keys = ("dip", "rsi2", "pull", "high52", "flow", "base")
+    rules = {
+        "dip": "large AND close <= 0.88::DOUBLE * ma20",
+        "rsi2": "close > ma200 AND 100 - 100 / (1 + eg / nullif(el, 0)) < 10",
+        "pull": "ma20 > ma60 AND kb10 AND NOT kb AND close < ma5 AND close > kb_open AND volume < kb_vol / 3",
+        "high52": "close > top AND amt >= 1.5::DOUBLE * y_amt20 AND body > 0",
+        "flow": "pair5 >= 4 AND close > ma20",
+        "base": "substr(md5(code || '|' || strftime(date, '%Y-%m-%d')), 1, 3) < '19a'",
+    }
+    near = "(PARTITION BY code ORDER BY date ROWS 9 PRECEDING)"
+    events_ = " UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS key, year(date) AS year, ret, {onset('s_' + k)} AS ev FROM flagged) WHERE ev" for k in keys)
+    means = ", ".join(f"{roll('avg(close)', 'close', n)} AS ma{n}" for n in (5, 20, 60, 200))
+    return f"""WITH {BARS}, {LISTING}, {FLOWS}, sizes AS (SELECT code, percent_rank() OVER (ORDER BY marcap) >= 0.5 AS large FROM listing),
+  nets AS (SELECT code, date, sum(net) FILTER (investor = 'BUILDING') AS net_a, sum(net) FILTER (investor = 'MACHINERY') AS net_b FROM flows GROUP BY 1, 2),
+  s0 AS (SELECT *, close * volume AS amt, close / {lag('close')} - 1 AS ret1, (close - open) / nullif(open, 0) AS body, close - {lag('close')} AS d, {means}, {roll('avg(volume)', 'volume', 20, 15)} AS vol20,
+    {roll('max(high)', 'high', 250, 200, 1)} AS top, {horizon(10, 0.003)} AS r10 FROM bars JOIN sizes USING (code) LEFT JOIN nets USING (code, date)),
+  s1 AS (SELECT *, greatest(d, 0) + CASE WHEN d IS NULL THEN NULL ELSE 0 END AS gain, greatest(-d, 0) + CASE WHEN d IS NULL THEN NULL ELSE 0 END AS loss, {roll('avg(amt)', 'amt', 20, 15)} AS amt20,
+    coalesce(ret1 >= 0.07 AND body >= 0.05 AND volume >= 3 * {lag('vol20')}, false) AS kb, CASE WHEN net_a IS NOT NULL THEN (net_a > 0 AND coalesce(net_b > 0, false))::INT END AS pair FROM s0),
+  s2 AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date) AS i FROM s1),
+  avgs AS (SELECT a.code, a.date, sum(w * f.gain) AS eg, sum(w * f.loss) AS el FROM (SELECT code, date, i FROM s2) a JOIN s2 f ON f.code = a.code AND f.i BETWEEN greatest(a.i - 90, 2) AND a.i
+    CROSS JOIN LATERAL (SELECT CASE WHEN f.i = 2 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END * pow(0.5::DOUBLE, a.i - f.i) AS w) GROUP BY 1, 2),
+  s3 AS (SELECT s2.*, eg, el, {lag('amt20')} AS y_amt20, bool_or(kb) OVER {near} AS kb10, last_value(CASE WHEN kb THEN open END IGNORE NULLS) OVER {near} AS kb_open,
+    last_value(CASE WHEN kb THEN volume END IGNORE NULLS) OVER {near} AS kb_vol, {roll('sum(pair)', 'pair', 5)} AS pair5,
+    CASE WHEN amt20 IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY amt20 NULLS LAST) + (count(amt20) OVER (PARTITION BY date, amt20) - 1) / 2.0::DOUBLE) / count(amt20) OVER (PARTITION BY date) END > 0.2::DOUBLE AS liq
+    FROM s2 LEFT JOIN avgs USING (code, date)),
+  flagged AS (SELECT code, date, CASE WHEN abs(r10) <= 3 THEN r10 END AS ret, {", ".join(f"coalesce(liq AND {v}, false) AS s_{k}" for k, v in rules.items())} FROM s3), e AS ({events_})
+{stats('key, year')} FROM e WHERE ret IS NOT NULL GROUP BY key, year"""
 
 
 def _study_sql() -> str:
@@ -412,6 +461,8 @@ SELECT t, count(*) AS n, CAST(sum(CAST(floor(p / t) * t AS BIGINT)) AS BIGINT) A
 SELECT * FROM k WHERE up_rank <= 5 OR down_rank <= 5""",
     "pattern_event_study": _study_sql(),
     "combo_mine": _combo_sql(),
+    "combo_mine_all": _combo_all_sql(),
+    "setup_stats_by_year": _setups_sql(),
     "regime_lamps": f"""WITH {BARS}, {LISTING}, {_index('')}, {_BREADTH}, l0 AS (SELECT date, exp(log_level) AS level, exp(log_level) / lag(exp(log_level)) OVER (ORDER BY date) - 1 AS r FROM idx),
   l1 AS (SELECT *, row_number() OVER (ORDER BY date) AS i, CASE WHEN count(*) OVER w60 >= 60 THEN avg(level) OVER w60 END AS m60, CASE WHEN count(*) OVER w20 >= 20 THEN avg(level) OVER w20 END AS m20, CASE WHEN count(r) OVER w20 >= 20 THEN round(stddev_samp(r) OVER w20 * sqrt(252), 9) END AS vol
   FROM l0 WINDOW w60 AS (ORDER BY date ROWS 59 PRECEDING), w20 AS (ORDER BY date ROWS 19 PRECEDING)),
