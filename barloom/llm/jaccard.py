@@ -485,3 +485,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return jaccard_groups(docs).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+OP8_SQL = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct([array_to_string(words[i : i + 3], ' ') for i in range(1, len(words) - 2)]) END AS items FROM w),
+long AS (SELECT doc_id, len(items) AS n, unnest(items) AS item FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM long a JOIN long b ON a.item = b.item AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS other FROM sets UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON r.other = l.a)
+SELECT s.doc_id, any_value(len(s.items)) AS n_shingles, min(r.other) AS component_id FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id"""

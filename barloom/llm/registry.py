@@ -16,4 +16,4 @@ QUERIES = {
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_packing": packing.op10_packing,
 }
-ORACLE_SQL = {"op6_url_filter": url_filter.OP6_SQL}
+ORACLE_SQL = {"op2_embedding_dedup": vectors.OP2_SQL, "op6_url_filter": url_filter.OP6_SQL, "op8_ngram_jaccard": jaccard.OP8_SQL}
