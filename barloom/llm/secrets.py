@@ -47,7 +47,8 @@ BASE_RULES = (
 )
 #: What the method adds to them.
 MORE_RULES = (
-    SecretRule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # the whole block; without its last line, the lines of base64 that follow (200 at most, four times a large key)
+    SecretRule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:\s*(?:Proc-Type|DEK-Info): [^\n]*){0,2}[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/=]{16,}){0,200})"),
     SecretRule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
 )
