@@ -31,13 +31,13 @@ from barloom.llm.common import connected_components, cut, stored
 WORDS = 4
 PERCENT = 85
 #: Entries of the matrix that one task ranks, about.
-TASK_ENTRIES = 1 << 20
+TASK_ENTRIES = 1 << 19
 #: Ranges of columns for each of those tasks: evens out how they are dealt.
 RANGES = 8
 #: From so many sets on, columns have the same rank: a task need not hold all sets of a column.
 SATURATED = 1 << 16
 #: Entries that a task holds before it gives away those of saturated columns.
-HELD_ENTRIES = 1 << 22
+HELD_ENTRIES = 1 << 21
 #: Columns with more rows than this are multiplied in blocks of rows, not by a join.
 JOIN_ROWS = 64
 #: Rows, and entries of the matrix, of a block of rows.
@@ -48,7 +48,7 @@ SLICE = 1 << 20
 #: Rows of an Arrow batch that are worked on at a time inside a task.
 ROWS = 512
 #: Sets that a task remembers, to send copies on once.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 16
 #: Ids are broadcast to pick rows up to this number (a few MB); more are joined by a shuffle.
 BROADCAST_IDS = 1 << 18
 
@@ -244,8 +244,10 @@ def _shared_entries(entries: DataFrame) -> DataFrame:
         def counted(held):
             """Entries by column and set, each once, with the sets of its column."""
             items, keys = (np.concatenate(x) for x in zip(*held))
+            held.clear()  # their memory is free before the sort
             order = np.lexsort((keys, items))
             items, keys = items[order], keys[order]
+            del order
             new = np.ones(len(items), bool)
             new[1:] = (items[1:] != items[:-1]) | (keys[1:] != keys[:-1])
             items, keys = items[new], keys[new]
