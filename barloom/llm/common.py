@@ -51,6 +51,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make):
+    """``make()``, kept in a Python worker for its next tasks, until another key is asked for.
+
+    One operator's tables at a time: a worker outlives the stages of a
+    pipeline and would otherwise hold those of all of them.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once per row.
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from barloom.llm.common import connected_components, cut, stored
+from barloom.llm.common import connected_components, cut, kept, stored
 
 WORDS = 4
 PERCENT = 85
@@ -135,11 +135,8 @@ class ShingleHasher:
         return found
 
 
-_HASHERS: dict[int, ShingleHasher] = {}
-
-
 def hasher(words: int) -> ShingleHasher:
-    return _HASHERS.setdefault(words, ShingleHasher(words))
+    return kept(("hasher", words), lambda: ShingleHasher(words))
 
 
 def _small(batches):

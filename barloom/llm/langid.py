@@ -21,6 +21,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.llm.common import kept
+
 ORDER = 5
 DISCOUNT = 0.75
 #: Labelled documents of each language that are fitted on, at most; one in CALIBRATE is kept for calibration.
@@ -210,14 +212,8 @@ class TextScorer:
         return (-total[:-1] / total[-1] if total[-1] else total[:-1]), total[-1]
 
 
-_SCORERS: dict[str, TextScorer] = {}
-
-
 def _scorer(tag: str, blob: bytes) -> TextScorer:
-    if tag not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[tag] = TextScorer(pickle.loads(blob))
-    return _SCORERS[tag]
+    return kept(("scorer", tag), lambda: TextScorer(pickle.loads(blob)))
 
 
 def held_out(key: Column) -> Column:

@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import re
 
+from barloom.llm.common import kept
+
 TOKENIZER_FOLDER = "/opt/tokenizers"
 
 
@@ -169,11 +171,6 @@ class ChunkEncoder:
         return out
 
 
-_ENCODERS: dict[tuple, ChunkEncoder] = {}
-
-
 def encoder(path: str, spaces: str) -> ChunkEncoder:
     """One encoder for each Python worker, which outlives its tasks."""
-    if (path, spaces) not in _ENCODERS:
-        _ENCODERS[path, spaces] = ChunkEncoder(path, spaces)
-    return _ENCODERS[path, spaces]
+    return kept(("encoder", path, spaces), lambda: ChunkEncoder(path, spaces))
