@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import html_extract, jaccard, langid, packing, pieces, quality, secrets, token_files, url_filter, vectors
+from barloom.llm import html_extract, jaccard, langid, lexical_search, packing, pieces, quality, secrets, token_counts, token_files, url_filter, vectors, whitening
 
 QUERIES = {
     "op1_language_id": langid.op1_language_id,
@@ -15,5 +15,13 @@ QUERIES = {
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_sentencepiece": pieces.op9_sentencepiece,
     "op10_packing": packing.op10_packing,
+    "op11_lexical_search": lexical_search.op11_lexical_search,
+    "op12_token_counts": token_counts.op12_token_counts,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
+}
+ORACLE_SQL = {
+    "op2_embedding_dedup": vectors.OP2_SQL,
+    "op6_url_filter": url_filter.OP6_SQL,
+    "op8_ngram_jaccard": jaccard.OP8_SQL,
+    "op11_lexical_search": lexical_search.OP11_SQL,
 }
-ORACLE_SQL = {"op2_embedding_dedup": vectors.OP2_SQL, "op6_url_filter": url_filter.OP6_SQL, "op8_ngram_jaccard": jaccard.OP8_SQL}
