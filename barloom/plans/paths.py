@@ -41,7 +41,9 @@ def _counts(d: DataFrame, names: list[str]) -> DataFrame:
 
 def parabolic_sar(spark, sf):
     """Stop and reverse of each bar, and the bars on which it changes sides."""
-    return _fired(spark, sf).select("code", "date", r("sar", 6).alias("sar"), *sequences.TURNS)
+    nothing = F.lit(None).cast("double")  # the stop needs prices only
+    d = market.bars(spark, sf).select("code", "date", "open", "high", "low", "close", "volume", nothing.alias("rsi"), nothing.alias("vol_ma20"))
+    return sequences.sar_turns(sequences.add_sequences(d)).select("code", "date", r("sar", 7).alias("sar"), *sequences.TURNS)
 
 
 def neckline_counts(spark, sf):
