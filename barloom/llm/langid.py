@@ -14,6 +14,7 @@ bounded size); the words of a text then cost one lookup each.
 from __future__ import annotations
 
 import pickle
+from itertools import groupby
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -182,14 +183,19 @@ class TextScorer:
         import numpy as np
 
         new = sorted(w for w in words if w not in self._ids)
-        scores = word_scores(self._models, new) if new else np.zeros((0, len(self._models)))
-        sizes = np.array([len(w) + 1.0 for w in new])
-        letters = np.array([w.isalpha() for w in new], bool)
+        # a run with digits or signs in it counts by its runs of letters
+        parts = [[w] if w.isalpha() else ["".join(g) for letters, g in groupby(w, str.isalpha) if letters] for w in new]
+        owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
+        flat = [p for ps in parts for p in ps]
+        scores, sizes = np.zeros((len(new), len(self._models))), np.zeros(len(new))
+        if flat:
+            np.add.at(scores, owner, word_scores(self._models, flat))
+            np.add.at(sizes, owner, [len(p) + 1.0 for p in flat])
         need = self._used + len(new)
         if need > len(self._table):
             self._table = np.concatenate((self._table, np.zeros((max(need, 2 * len(self._table)) - len(self._table), self._table.shape[1]))))
-        self._table[self._used : need, :-1] = scores * letters[:, None]
-        self._table[self._used : need, -1] = sizes * letters
+        self._table[self._used : need, :-1] = scores
+        self._table[self._used : need, -1] = sizes
         self._ids.update(zip(new, range(self._used, need)))
         self._used = need
 
