@@ -47,12 +47,16 @@ BASE_RULES = (
 )
 #: What the method adds to them.
 MORE_RULES = (
-    # the whole block; without its last line, the lines of base64 that follow (200 at most, four times a large key)
-    SecretRule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:\s*(?:Proc-Type|DEK-Info): [^\n]*){0,2}[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/=]{16,}){0,200})"),
+    # the whole block; without its last line, all lines of base64 that follow (possessive: no engine recurses over them)
+    SecretRule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:\s*(?:Proc-Type|DEK-Info): [^\n]*){0,2}[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/=]{16,})*+)"),
     SecretRule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
 )
 MAX_ALTERNATIVES = 64
+#: A class of so many single characters is spelled out in the trigram query.
+MAX_LETTERS = 8
+#: Matches that one fold gathers: folds copy what they have gathered, so long lists are folded in blocks.
+BLOCK = 256
 SPANS_TYPE = "array<struct<s:int,r:int,e:int,kind:string>>"
 
 
@@ -78,7 +82,7 @@ def _strings(tree) -> list[list[str | None]]:
                 parts = [[*s, None] for s in once]
             else:
                 parts = [[None]]
-        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg) and len(arg) <= 4:
+        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg) and len(arg) <= MAX_LETTERS:
             parts = [[chr(a)] for _, a in arg]
         else:
             parts = [[None]]
@@ -131,7 +135,19 @@ def _spans(text: Column, rule: SecretRule, rank: int) -> Column:
         span = F.struct(s.alias("s"), F.lit(rank).alias("r"), (s + z["hit"]).alias("e"), F.lit(rule.kind).alias("kind"))
         return F.struct((s + z["hit"]).alias("at"), F.when(z["val"] >= rule.min_chars, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.when(text.rlike(java_pattern(rule)), F.aggregate(zipped, start, step, lambda a: a["out"])).otherwise(empty)
+    def moved(parts: Column) -> Column:
+        """Blocks with positions of their own, each moved by the length of the blocks before it."""
+        offsets = F.aggregate(parts, F.array(F.lit(0)), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x["at"]))
+        shifted = lambda x, by: F.transform(x["out"], lambda z: F.struct((z["s"] + by).alias("s"), z["r"].alias("r"), (z["e"] + by).alias("e"), z["kind"].alias("kind")))
+        return let(offsets, lambda at: F.flatten(F.transform(parts, lambda x, i: shifted(x, F.get(at, i)))))
+
+    found = let(_blocks(zipped), lambda blocks: let(F.transform(blocks, lambda block: F.aggregate(block, start, step)), moved))
+    return F.when(text.rlike(java_pattern(rule)), found).otherwise(empty)
+
+
+def _blocks(items: Column) -> Column:
+    """An array of arrays of BLOCK items each."""
+    return let(items, lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.size(x) - 1, F.lit(0)), F.lit(BLOCK)), lambda at: F.slice(x, at + 1, F.lit(BLOCK))))
 
 
 def _filtering(rule: SecretRule) -> SecretRule:
@@ -192,12 +208,25 @@ def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """``text`` with every span (overlapping ones together) replaced by ``mark``."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, z: Column) -> Column:
-        fresh = z["s"] >= acc["at"]
-        piece = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, z["s"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], z["e"]).alias("at"), piece.alias("out"))
+    def block_step(acc: Column, block: Column) -> Column:
+        """A block's spans are cut from its own stretch of the text."""
+        base = acc["at"]
+        end = F.greatest(base, F.array_max(F.transform(block, lambda z: z["e"])))
+        stretch = F.substring(text, base + 1, end - base)
+
+        def folded(part: Column) -> Column:
+            inner = F.struct(base.alias("at"), F.array().cast("array<string>").alias("out"))
+
+            def step(a: Column, z: Column) -> Column:
+                fresh = z["s"] >= a["at"]
+                piece = F.concat(F.substring(part, a["at"] - base + 1, z["s"] - a["at"]), F.lit(mark))
+                return F.struct(F.greatest(a["at"], z["e"]).alias("at"), F.when(fresh, F.array_append(a["out"], piece)).otherwise(a["out"]).alias("out"))
+
+            return F.array_join(F.aggregate(block, inner, step, lambda a: a["out"]), "")
+
+        return F.struct(end.alias("at"), F.concat(acc["out"], let(stretch, folded)).alias("out"))
 
-    done = F.aggregate(spans, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    done = F.aggregate(_blocks(spans), start, block_step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
