@@ -184,12 +184,16 @@ class TextScorer:
 
         new = sorted(w for w in words if w not in self._ids)
         # a run with digits or signs in it counts by its runs of letters
-        parts = [[w] if w.isalpha() else ["".join(g) for letters, g in groupby(w, str.isalpha) if letters] for w in new]
-        owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
+        plain = [w for w in new if w.isalpha()]
+        parts = [[] if w.isalpha() else ["".join(g) for letters, g in groupby(w, str.isalpha) if letters] for w in new] if len(plain) < len(new) else []
         flat = [p for ps in parts for p in ps]
-        scores, sizes = np.zeros((len(new), len(self._models))), np.zeros(len(new))
+        both = word_scores(self._models, plain + flat) if plain or flat else np.zeros((0, len(self._models)))
+        letters = np.array([w.isalpha() for w in new], bool)
+        scores, sizes = np.zeros((len(new), len(self._models))), np.array([len(w) + 1.0 for w in new]) * letters
+        scores[letters] = both[: len(plain)]
         if flat:
-            np.add.at(scores, owner, word_scores(self._models, flat))
+            owner = np.repeat(np.arange(len(new)), [len(p) for p in parts])
+            np.add.at(scores, owner, both[len(plain) :])
             np.add.at(sizes, owner, [len(p) + 1.0 for p in flat])
         need = self._used + len(new)
         if need > len(self._table):
