@@ -26,6 +26,10 @@ CODEWORDS = 16
 CAP = 3.2
 #: A vector in fewer caps than this also joins its next best filters.
 LEAST_FILTERS = 40
+#: From so many dimensions on, a vector in few caps joins more of the next best filters: blocks of a long vector say less each.
+WIDE, WIDE_LEAST = 512, 96
+#: In fewer dimensions than this, caps at the threshold are too wide to tell vectors apart: one filter holds all of a label.
+LEAST_DIM = 20
 #: Vectors of a filter that are compared as one block.
 BLOCK_ROWS = 512
 SEED = 20240607
@@ -45,11 +49,15 @@ class ProductCode:
             w = rng.standard_normal((codewords, len(part)))
             self._words.append(w / np.linalg.norm(w, axis=1, keepdims=True) / np.sqrt(len(self._cuts)))
         self._level = cap / np.sqrt(dim)
+        self._least = WIDE_LEAST if dim >= WIDE else LEAST_FILTERS
+        self._single = dim < LEAST_DIM
 
     def decode(self, units) -> list:
         """For each unit vector, the sorted numbers of its filters."""
         import numpy as np
 
+        if self._single:
+            return [np.zeros(1, np.int32) for _ in range(len(units))]
         turned = units @ self._rotation.T
         scores = [turned[:, part] @ w.T for part, w in zip(self._cuts, self._words)]
         half = max(1, len(scores) // 2)
@@ -61,9 +69,9 @@ class ProductCode:
             total = left[rows, None] + right[None, :]
             r, c = np.nonzero(total >= self._level)
             codes = rows[r] * len(right) + c
-            if len(codes) < LEAST_FILTERS:
+            if len(codes) < self._least:
                 every = (left[:, None] + right[None, :]).ravel()
-                n = min(LEAST_FILTERS, len(every))
+                n = min(self._least, len(every))
                 codes = np.argpartition(-every, n - 1)[:n]
             out.append(np.sort(codes).astype(np.int32))
         return out
@@ -191,20 +199,21 @@ def _compare(units: DataFrame, threshold: float) -> DataFrame:
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD) -> DataFrame:
     """Links between vectors of one label whose cosine is ``threshold`` or more.
 
-    Returns ``id, n_links, component, kept`` for every row with an id: the
-    vectors linked directly, the smallest id reachable by links (its own
-    without links), and whether that is the row's own id. Vectors that are
-    null, empty, zero or hold null or non-finite components, and those with a
-    null label, link with nothing; vectors of different lengths do not link.
+    Returns ``id, n_links, component, kept`` for every row: the vectors linked
+    directly, the smallest id reachable by links (its own without links), and
+    whether that is the row's own id. Rows with a null id link with nothing
+    and have a null component. Vectors that are null, empty, zero or hold null
+    or non-finite components, and those with a null label, link with nothing;
+    vectors of different lengths do not link.
     Ids are meant to be distinct; rows that repeat one count as vectors of
     their own and each get the id's result. Other columns are ignored; an
     empty table gives an empty result.
 
     No pair below the threshold is linked. In 64 dimensions a random pair right
     at 0.93 has no common filter in 1 or 2 of 1,000 cases (measured), at 0.95
-    in none of 1,500. The
-    filters' number is fixed: for more than some ten million vectors of a
-    label take more CODEWORDS and a higher CAP.
+    in none of 1,500. Below LEAST_DIM dimensions all of a label are compared,
+    block against block. The filters' number is fixed: for more than some ten
+    million vectors of a label take more CODEWORDS and a higher CAP.
     """
     usable = _usable(vectors, id_col, vec_col, label_col).withColumn("digest", F.sha2(F.to_json(F.struct("label", "vec")), 256))
     members = stored(usable, "vectors")
@@ -227,9 +236,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     comps = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     per_class = of_class.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
     result = per_class.select("id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")).dropDuplicates(["id"])
-    base = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"))
+    base = vectors.select(F.col(id_col).cast("long").alias("id"))
     out = base.join(result, "id", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component"))
-    return out.withColumn("kept", F.col("id") == F.col("component"))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component"), F.lit(False)))
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
