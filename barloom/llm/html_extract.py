@@ -6,7 +6,9 @@ over all its block elements; an aligned element takes the anchor's slot, and
 every element has the slot of its own path. The lines of text in each slot are counted
 over all distinct pages of the host: a line that nearly all pages with the slot
 share is template, inside an article as well, and is left out where it stands
-in that slot. The wrapper also says which article or main element holds the
+in that slot. Only pages with enough text that no other page has bear witness
+to that: versions of one text share theirs. A constant heading stays if it heads
+text that stays. The wrapper also says which article or main element holds the
 most varying text. Menus, adverts, forms and the like are left out by name,
 role and class besides.
 """
@@ -32,8 +34,8 @@ from barloom.llm.url_filter import host_of
 SAMPLE_PAGES = 6
 #: Share of a slot's pages that must have the same line there for it to be template.
 CONSTANT_SHARE = 0.9
-#: A page that would keep less than this share of its text is a near copy of others: nothing is taken away.
-LEAST_LEFT = 0.1
+#: Pages that must witness it: those with this share of their text at least that is on no other page of the host.
+WITNESSES, OWN_SHARE = 3, 0.3
 #: An anchor that agrees with an earlier one in this share of the score is of the same layout.
 SAME_LAYOUT = 0.8
 #: Pairs of siblings that one alignment compares, and its levels; elements beyond keep the slots of their own paths.
@@ -50,8 +52,11 @@ BLOCK = frozenset(
 DROPPED = frozenset("aside button dialog footer form head iframe input label menu nav noscript object script select style svg template textarea title canvas audio video".split())
 MAIN = ("article", "main")
 DROPPED_WORDS = frozenset(
-    "ad ads advert adverts advertisement banner sponsor sponsored promo comment comments reply replies respond disqus sidebar menu nav navigation navbar breadcrumb breadcrumbs cookie cookies consent notice notices gdpr popup modal overlay subscribe newsletter signup share sharing social related recommended footer".split()
+    "ad ads advert adverts advertisement banner sponsor sponsored promo comment comments commentlist reply replies respond disqus sidebar menu nav navigation navbar breadcrumb breadcrumbs cookie cookies consent notice notices gdpr popup modal overlay subscribe newsletter signup share sharing social related recommended footer".split()
 )
+#: Those of them that name readers' comments.
+COMMENT_WORDS = frozenset("comment comments commentlist reply replies respond disqus".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A token with one of these words tells how a page looks.
 STATE_WORDS = frozenset("has no not without with free hide hidden enabled disabled".split())
 #: Elements whose content is never a page's main text.
@@ -126,7 +131,9 @@ def dropped(node: Node, inside_main: bool, kept: frozenset[int] = frozenset()) -
         return True
     if node.name == "header":
         return not inside_main
-    return bool(node.mark) and node.name not in MAIN and _marked(node.mark)
+    if node.name in MAIN:  # an article in an article may be a reader's comment
+        return inside_main and any(not COMMENT_WORDS.isdisjoint(_WORDS.findall(token)) for token in node.mark.split())
+    return bool(node.mark) and _marked(node.mark)
 
 
 def kept_anyway(root: Node) -> frozenset[int]:
@@ -323,16 +330,16 @@ def _regions(root: Node, wanted: int | None, slots: dict[int, tuple[int, ...]],
     return on_path or named
 
 
-def _lines(regions: list[Node], slots: dict[int, tuple[int, ...]], inside_main: bool, kept: frozenset[int]) -> list[tuple[tuple[int, ...], str]]:
-    """The lines of text of ``regions``, each with the slots of the block element it stands in."""
-    lines: list[tuple[tuple[int, ...], str]] = []
+def _lines(regions: list[Node], slots: dict[int, tuple[int, ...]], inside_main: bool, kept: frozenset[int]) -> list[tuple[tuple[int, ...], str, bool]]:
+    """The lines of text of ``regions``, each with the slots of the block element it stands in and whether that is a heading."""
+    lines: list[tuple[tuple[int, ...], str, bool]] = []
     held: list[str] = []
 
-    def end_line(slot: tuple[int, ...]):
+    def end_line(slot: tuple[int, ...], heading: bool = False):
         line = " ".join("".join(held).split())
         held.clear()
         if line:
-            lines.append((slot, line))
+            lines.append((slot, line, heading))
 
     for region in regions:
         slot = slots.get(id(region), NOWHERE)
@@ -340,7 +347,7 @@ def _lines(regions: list[Node], slots: dict[int, tuple[int, ...]], inside_main:
         while todo:
             item, above, inside = todo.pop()
             if item is None:
-                end_line(above)
+                end_line(above, inside)
             elif isinstance(item, str):
                 held.append(item)
             elif item.name == "br":
@@ -350,7 +357,7 @@ def _lines(regions: list[Node], slots: dict[int, tuple[int, ...]], inside_main:
                 if item.name in BLOCK:
                     end_line(above)
                     own = slots.get(id(item), above)
-                    todo.append((None, own, False))
+                    todo.append((None, own, item.name in HEADINGS))
                 todo.extend((c, own, inside or item.name in MAIN) for c in reversed(item.children))
         end_line(slot)
     return lines
@@ -363,8 +370,9 @@ def _main_slot(slot: int) -> int:
 def observe(page: str | None, anchors: list[Outline]) -> list[tuple[int, int, int]]:
     """What a page tells of its host's wrapper: ``(slot, entry, chars)``.
 
-    Entry 0 says that the page has the slot, any other that a line (or the whole
-    text of an article or main element) stands there; 1 counts characters.
+    Entry 0 says that the page has the slot, any other that a line (or, with no
+    characters, the whole text of an article or main element) stands there; 1
+    counts the characters of such an element.
     """
     if not page:
         return []
@@ -375,10 +383,10 @@ def observe(page: str | None, anchors: list[Outline]) -> list[tuple[int, int, in
     chars: Counter = Counter()
     for region in regions or [root]:
         lines = _lines([region], slots, bool(regions), kept)
-        for both, line in lines:
+        for both, line, _ in lines:
             for slot in both:
-                found |= {(slot, 0, 0), (slot, _hash(slot, line), 0)}
-        whole = "\n".join(line for _, line in lines)
+                found |= {(slot, 0, 0), (slot, _hash(slot, line), len(line))}
+        whole = "\n".join(line for _, line, _ in lines)
         for slot in slots.get(id(region), NOWHERE) if regions else ():
             at = _main_slot(slot)
             chars[slot] += len(whole)
@@ -386,9 +394,9 @@ def observe(page: str | None, anchors: list[Outline]) -> list[tuple[int, int, in
     return [*found, *((slot, 1, n) for slot, n in chars.items())]
 
 
-def is_template(n, pages) -> bool:
-    """Whether ``n`` of the ``pages`` that have a slot make its line template (numbers or columns)."""
-    return (n >= 2) & (n >= CONSTANT_SHARE * pages)
+def is_constant(n, pages) -> bool:
+    """Whether ``n`` of the ``pages`` that have a slot may make its line template (numbers or columns)."""
+    return (n >= WITNESSES) & (n >= CONSTANT_SHARE * pages)
 
 
 def induce(pages: list[str]) -> dict:
@@ -398,14 +406,21 @@ def induce(pages: list[str]) -> dict:
     anchors = [_anchor(a) for a in plain]
     n: Counter = Counter()
     mains: Counter = Counter()
-    for page in pages:
-        for slot, entry, chars in observe(page, anchors):
+    seen = [observe(page, anchors) for page in pages]
+    for told in seen:
+        for slot, entry, chars in told:
             if entry == 1:
                 mains[slot] += chars
             else:
                 n[slot, entry] += 1
-    template = sorted({entry for (slot, entry), k in n.items() if entry and is_template(k, n[slot, 0])})
-    constant = {slot for (slot, entry), k in n.items() if entry and is_template(k, n[slot, 0])}
+    constant = {(slot, entry) for (slot, entry), k in n.items() if entry and is_constant(k, n[slot, 0])}
+    witnesses: Counter = Counter()
+    for told in seen:
+        lines = [(slot, entry, chars) for slot, entry, chars in told if entry not in (0, 1)]
+        own = sum(chars for slot, entry, chars in lines if n[slot, entry] == 1)
+        if own > 0 and own >= OWN_SHARE * sum(chars for _, _, chars in lines):
+            witnesses.update((slot, entry) for slot, entry, chars in lines if chars and (slot, entry) in constant)
+    template, constant = sorted({entry for (_, entry), k in witnesses.items() if k >= WITNESSES}), {slot for slot, _ in constant}
     return {"anchors": plain, "template": template, "mains": [[k, v] for k, v in sorted(mains.items()) if _main_slot(k) not in constant]}
 
 
@@ -431,10 +446,14 @@ def extract(page: str | None, wrapper: dict | Wrapper | None = None) -> str:
     if len(regions) > 1:
         regions = _regions(root, w.main, slots, kept)
     lines = _lines(regions or [root], slots, bool(regions), kept)
-    left = [line for both, line in lines if not w.template or all(_hash(slot, line) not in w.template for slot in both)]
-    if sum(map(len, left)) < LEAST_LEFT * sum(len(line) for _, line in lines):
-        left = [line for _, line in lines]
-    return "\n".join(left)
+    left: list[str] = []
+    after = False  # whether the line after stays, from the last line on
+    for both, line, heading in reversed(lines):
+        template = bool(w.template) and any(_hash(slot, line) in w.template for slot in both)
+        after = not template or (heading and after)
+        if after:
+            left.append(line)
+    return "\n".join(reversed(left))
 
 
 def _small(df: DataFrame, chars) -> DataFrame:
@@ -489,11 +508,22 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
 
     told = read.join(_small(anchors, F.length("__host") + F.length("__anchors")), "__host").select("__host", "__id", "__html", "__anchors")
     told = told.mapInArrow(tell, "__host string, __id long, __seen array<struct<slot:long,entry:long,chars:long>>").where(F.size("__seen") > 0).dropDuplicates(["__host", "__id"])
+    told = stored(told, "told")
     seen = told.select("__host", F.inline("__seen")).groupBy("__host", "slot", "entry").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).where("n >= 2 or entry in (0, 1)")
     seen = stored(seen, "seen")
     total = seen.where("entry = 0").select("__host", "slot", F.col("n").alias("pages"))
-    constant = seen.where("entry not in (0, 1)").join(total, ["__host", "slot"]).where(is_template(F.col("n"), F.col("pages")))
-    by_host = constant.groupBy("__host").agg(F.to_json(F.sort_array(F.collect_set("entry"))).alias("__template"), F.collect_set("slot").alias("__fixed"))
+    shared = seen.where("entry not in (0, 1)").join(total, ["__host", "slot"]).select("__host", "slot", "entry", "chars", is_constant(F.col("n"), F.col("pages")).alias("constant"))
+    # only hosts with constant lines are looked at again; lines that no other page has are not in the table
+    again = told.join(shared.where("constant").select("__host").distinct(), "__host", "left_semi").select("__host", "__id", F.inline("__seen")).where("entry not in (0, 1)")
+    again = again.join(shared.drop("chars"), ["__host", "slot", "entry"], "left")
+    own = F.sum(F.when(F.col("constant").isNull(), F.col("chars")).otherwise(0))
+    lines = F.collect_set(F.when(F.col("constant") & (F.col("chars") > 0), F.struct("slot", "entry")))  # a page's own: bounded by the page
+    witness = again.groupBy("__host", "__id").agg(F.sum("chars").alias("chars"), own.alias("own"), lines.alias("lines")).where(f"own > 0 and own >= {OWN_SHARE} * chars")
+    constant = witness.select("__host", F.inline("lines")).groupBy("__host", "slot", "entry").agg(F.count(F.lit(1)).alias("witnesses")).where(f"witnesses >= {WITNESSES}")
+    constant = stored(constant, "constant")
+    # whole articles have no characters of their own here
+    fixed = shared.where("constant and chars = 0").groupBy("__host").agg(F.collect_set("slot").alias("__fixed"))
+    by_host = constant.groupBy("__host").agg(F.to_json(F.sort_array(F.collect_set("entry"))).alias("__template")).join(fixed, "__host", "full")
     main_slot = F.udf(lambda slot: _main_slot(slot), "long")
     mains = seen.where("entry = 1").groupBy("__host").agg(F.collect_list(F.struct("slot", main_slot("slot").alias("at"), "chars")).alias("__mains"))
     free = F.filter("__mains", lambda m: ~F.coalesce(F.array_contains("__fixed", m["at"]), F.lit(False)))
