@@ -32,6 +32,9 @@ CALIBRATE = 5
 #: More labels than this are taken for an error: it bounds what is broadcast.
 MAX_LANGUAGES = 256
 CACHE_WORDS = 400_000
+#: Characters of texts whose new words are scored together.
+GROUP_CHARS = 1 << 20
+STEP_ROWS = 500
 UNKNOWN = "und"
 #: Deviations of its cross-entropy from the language's own beyond which a text is rejected, at least.
 LEAST_DEVIATION = 8.0
@@ -205,21 +208,33 @@ class TextScorer:
 
     def score(self, text: str):
         """(cross-entropy by model, symbols); symbols is 0 for a text without letters."""
+        return self.score_all([text])[0]
+
+    def score_all(self, texts: list[str | None]) -> list:
+        """``score`` of each text. What is new in about a megabyte of texts is learned together."""
         import numpy as np
 
-        total = np.zeros(len(self._models) + 1)
-        for words in words_of(text):
-            if not words:
-                continue
-            try:
-                ids = list(map(self._ids.__getitem__, words))
-            except KeyError:
-                if self._used > self._limit:
-                    self._ids, self._used = {}, 0
-                self._learn(set(words))
-                ids = list(map(self._ids.__getitem__, words))
-            total += self._table[ids].sum(axis=0)
-        return (-total[:-1] / total[-1] if total[-1] else total[:-1]), total[-1]
+        totals = np.zeros((len(texts), len(self._models) + 1))
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            for words in words_of(text or ""):
+                held.append((i, words))
+                size += min(len(text), _SLICE)
+                if size >= GROUP_CHARS:
+                    self._add(held, totals)
+                    held, size = [], 0
+        self._add(held, totals)
+        return [(-t[:-1] / t[-1] if t[-1] else t[:-1], t[-1]) for t in totals]
+
+    def _add(self, held: list[tuple[int, list[str]]], totals) -> None:
+        if self._used > self._limit:
+            self._ids, self._used = {}, 0
+        missing = set().union(*[words for _, words in held]).difference(self._ids)
+        if missing:
+            self._learn(missing)
+        for i, words in held:
+            if words:
+                totals[i] += self._table[list(map(self._ids.__getitem__, words))].sum(axis=0)
 
 
 def _scorer(tag: str, blob: bytes) -> TextScorer:
@@ -284,7 +299,7 @@ def _entropies(sample: DataFrame, models: LanguageModels) -> DataFrame:
 
         scorer = _scorer(tag, share.value)
         for b in batches:
-            got = [scorer.score(t or "") for t in b.column(1).to_pylist()]
+            got = scorer.score_all(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0].tolist() for g in got], pa.list_(pa.float64())), pa.array([float(g[1]) for g in got], pa.float64())], names=["lang", "ce", "n"])
 
     return sample.select("lang", "text").mapInArrow(run, "lang string, ce array<double>, n double")
@@ -339,12 +354,10 @@ def identify(docs: DataFrame, models: LanguageModels, text: str = "text") -> Dat
     at = left.columns.index(text)
     share, tag, languages, sharp, mean, spread, limit, wall = models.share, models.tag, models.languages, models.sharpness, models.mean, models.spread, models.limit, models.wall
 
-    def judge(scorer, t):
+    def judge(scored):
         import numpy as np
 
-        if not t or not languages:
-            return UNKNOWN, 0.0, None, True
-        ce, n = scorer.score(t)
+        ce, n = scored
         if not n:
             return UNKNOWN, 0.0, None, True
         best = int(np.argmin(ce))
@@ -358,7 +371,11 @@ def identify(docs: DataFrame, models: LanguageModels, text: str = "text") -> Dat
 
         scorer = _scorer(tag, share.value) if languages else None
         for b in batches:
-            got = list(zip(*(judge(scorer, t.as_py()) for t in b.column(at)))) or [[], [], [], []]
+            scored = []
+            for start in range(0, b.num_rows, STEP_ROWS):  # a step's texts are Python's, not a whole batch's
+                texts = b.column(at).slice(start, STEP_ROWS).to_pylist()
+                scored += scorer.score_all(texts) if scorer else [(None, 0)] * len(texts)
+            got = list(zip(*map(judge, scored))) or [[], [], [], []]
             new = [pa.array(c, kind) for c, kind in zip(got, (pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *names])
 
