@@ -42,6 +42,23 @@ def lowest(x, n: int, least: int | None = None, shift: int = 0) -> Column:
     return rolling(F.min(x), x, n, least, shift)
 
 
+def rolling_quantile(x: str, n: int, q: float, least: int | None = None) -> Column:
+    """The ``q`` quantile of the last n values, between neighbours in proportion; null until ``least`` values (n by default) are there.
+
+    One sorted array a row: cheaper than an aggregate that is filled anew for each frame.
+    """
+    values = F.sort_array(F.collect_list(x).over(by_code(-(n - 1), 0)))
+
+    def at(v: Column) -> Column:
+        place = q * (F.size(v) - 1)
+        low = F.floor(place)
+        a, b = F.get(v, low.cast("int")), F.get(v, F.ceil(place).cast("int"))
+        between = (F.ceil(place) - place) * a + (place - low) * b
+        return F.when(F.size(v) >= (least or n), F.when(low == F.ceil(place), a).otherwise(between))
+
+    return F.element_at(F.transform(F.array(values), at), 1)
+
+
 def flag(condition: Column) -> Column:
     """A condition on missing values is false."""
     return F.coalesce(condition, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.expr import by_code, crosses_up, flag, highest, lag, mean, rolling
+from barloom.functions.expr import by_code, crosses_up, flag, highest, lag, mean, rolling, rolling_quantile
 
 CONDITIONS = [
     "align", "ma60up", "ma20_60", "ma120", "adx_up", "mom3m", "hi52", "brk20", "sqz", "rsi_pb", "near20", "rsi_os",
@@ -16,7 +16,7 @@ CONDITIONS = [
 def add_conditions(d: DataFrame) -> DataFrame:
     c, o, h, low = (F.col(x) for x in ("close", "open", "high", "low"))
     col = F.col
-    narrow = rolling(F.percentile("bb_width", F.lit(0.2)), "bb_width", 120)
+    narrow = rolling_quantile("bb_width", 120, 0.2)
     d = d.withColumn("__tight", flag(col("bb_width") <= narrow).cast("int"))
     rules = {
         "align": (col("ma5") > col("ma20")) & (col("ma20") > col("ma60")) & (col("ma60") > col("ma120")),

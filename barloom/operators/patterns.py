@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from barloom.functions.expr import by_code, crosses_down, crosses_up, flag, highest, lag, lowest, mean, rolling
+from barloom.functions.expr import by_code, crosses_down, crosses_up, flag, highest, lag, lowest, mean, rolling, rolling_quantile
 
 WINDOW_PATTERNS = [
     "ma5_sup", "ma5_rej", "ma20_sup", "ma20_rej", "ma60_sup", "ma60_rej", "gc", "dc", "align_on", "align_off", "pullback",
@@ -54,10 +54,10 @@ def add_window_patterns(d: DataFrame) -> DataFrame:
             "__chg": c / lag("close") - 1,
             "__vr": F.try_divide(v, lag("vol_ma20")),
             "__v5": mean("volume", 5),
-            "__v60q": rolling(F.percentile("volume", F.lit(0.15)), "volume", 60),
+            "__v60q": rolling_quantile("volume", 60, 0.15),
             "__rising": flag((col("ma5") > col("ma20")) & (col("ma20") > col("ma60")) & (col("ma60") > col("ma120"))),
             "__falling": flag((col("ma5") < col("ma20")) & (col("ma20") < col("ma60")) & (col("ma60") < col("ma120"))),
-            "__tight": flag(col("bb_width") <= rolling(F.percentile("bb_width", F.lit(0.1)), "bb_width", 120, 60)),
+            "__tight": flag(col("bb_width") <= rolling_quantile("bb_width", 120, 0.1, 60)),
             "__near": flag((top3 - low3) / c <= 0.03),
             "__top3": top3,
             "__s20": col("ma20") - lag("ma20"),

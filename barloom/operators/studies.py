@@ -49,27 +49,48 @@ def volume_profile(bars: DataFrame, days: int, bins: int) -> DataFrame:
     return d.groupBy("code", "bin").agg(F.round(F.sum(F.col("volume") * F.col("close") * share), 2).alias("value"))
 
 
-def combo_table(d: DataFrame, names: list[str], most: int, least: int, split) -> DataFrame:
-    """Statistics of ``ret`` for every conjunction of up to ``most`` of the flags ``names``; ``split`` parts early from late days.
+def _masks(names: list[str], most: int):
+    """The bits of the flags ``names`` that hold in a row, and what makes conjunctions of one flag more of an array of them."""
+    if not 1 <= most <= 3 or len(names) > 62:
+        raise ValueError("one to three of at most 62 flags")
+    one = F.array_compact(F.array(*[F.when(F.col(x), F.lit(1 << i).cast("long")) for i, x in enumerate(names)]))
+    wider = lambda below: F.flatten(F.transform(below, lambda c: F.transform(F.filter("__one", lambda m: m > c), lambda m: m.bitwiseOR(c))))
+    return one, wider
 
-    A row's conjunctions are expanded in the row and meet again in one
-    aggregation with partial sums: at most as many groups as combinations.
+
+def early_days(d: DataFrame, share: float = 0.65) -> DataFrame:
+    """``date, early`` of the days of ``d``: whether a day is among the first ``share``. One row a day, whatever the codes."""
+    days = d.select("date").distinct()
+    return days.select("date", (F.row_number().over(W.orderBy("date")) <= F.floor(share * F.count(F.lit(1)).over(W.partitionBy()))).alias("early"))
+
+
+def combo_table(d: DataFrame, names: list[str], most: int, least: int) -> DataFrame:
+    """Statistics of ``ret`` for every conjunction of up to ``most`` of the flags ``names``; ``early`` parts the days.
+
+    A row's conjunctions are expanded in the row, as bit masks of the flags it
+    has, and meet again in one aggregation with partial sums: at most as many
+    groups as combinations.
     """
-    combos = [c for k in range(1, most + 1) for c in combinations(names, k)]
-    true = [F.when(F.expr(" and ".join(c)), F.lit("+".join(c))) for c in combos]
-    half = F.col("date") >= split
-    long = d.select("ret", half.alias("late"), F.explode(F.array_compact(F.array(*true))).alias("combo"))
+    one, wider = _masks(names, most)
+    d = d.select("ret", "early", one.alias("__one"))
+    levels = ["__one"]
+    for k in range(1, most):
+        d = d.withColumn(f"__l{k}", wider(F.col(levels[-1])))
+        levels.append(f"__l{k}")
+    long = d.select("ret", "early", F.explode(F.concat(*levels)).alias("mask"))
     mean = F.avg("ret")
     return (
-        long.groupBy("combo")
+        long.groupBy("mask")
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.round(mean, 6).alias("mean_ret"),
             F.round(mean - 1.64 * F.stddev_pop("ret") / F.sqrt(F.count(F.lit(1))), 6).alias("lower_bound"),
-            F.round(F.avg(F.when(~F.col("late"), F.col("ret"))), 6).alias("early_mean"),
-            F.round(F.avg(F.when(F.col("late"), F.col("ret"))), 6).alias("late_mean"),
+            F.round(F.avg(F.when(F.col("early"), F.col("ret"))), 6).alias("early_mean"),
+            F.round(F.avg(F.when(~F.col("early"), F.col("ret"))), 6).alias("late_mean"),
         )
         .where(F.col("n") >= least)
+        .withColumn("combo", F.concat_ws("+", *[F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(x)) for i, x in enumerate(names)]))
+        .drop("mask")
     )
 
 

@@ -20,8 +20,9 @@ def barrier_exit(d: DataFrame, h: int, target: float, stop: float, cap: float =
     """Add ``ret, days, outcome`` of a trade with a target and a stop, both multiples of the ATR share.
 
     The stop is tested before the target on a bar; a gap fills at the open;
-    after ``h`` bars the close ends it. Null without ``h`` further bars. The
-    next bars are one array per row: a window, no self-join.
+    after ``h`` bars the close ends it. Null without ``h`` further bars and
+    without a positive entry. The next bars are one array per row: a window,
+    no self-join; ``exits.signals`` keeps it for signal rows only.
     """
     ahead = F.collect_list(F.struct("open", "high", "low", "close")).over(by_code(1, h))
     k = F.least(F.col("atr_pct"), F.lit(cap))
@@ -33,7 +34,7 @@ def barrier_exit(d: DataFrame, h: int, target: float, stop: float, cap: float =
     stopped, hit = (F.col("__d") <= h) & (F.col("__d") <= F.col("__u")), F.col("__u") <= h
     bar = lambda at: F.get("__f", (at - 1).cast("int"))
     price = F.when(stopped, F.least(bar(F.col("__d"))["open"], F.col("__s"))).when(hit, F.greatest(bar(F.col("__u"))["open"], F.col("__t"))).otherwise(F.get("__f", F.lit(h - 1))["close"])
-    whole = (F.size("__f") == h) & F.col("__t").isNotNull()
+    whole = (F.size("__f") == h) & F.col("__t").isNotNull() & (F.col("__entry") > 0)
     return (
         d.withColumn("ret", F.when(whole, price / F.col("__entry") - 1 - cost))
         .withColumn("days", F.when(whole, F.least(F.least("__d", "__u"), F.lit(h))))

@@ -396,7 +396,7 @@ ORACLE_SQL = {
     "bars_daily": f"WITH {BARS} SELECT code, date, open, high, low, close, volume, round(amount, 2) AS amount FROM bars",
     "resample_weekly": f"WITH {BARS}, {_resample('week')} SELECT * FROM res",
     "resample_monthly": f"WITH {BARS}, {_resample('month')} SELECT * FROM res",
-    "listing_filter": f"WITH {LISTING} SELECT code, market, theme, marcap, row_number() OVER (PARTITION BY market ORDER BY marcap DESC, code) AS size_rank FROM listing",
+    "listing_filter": f"WITH {LISTING} SELECT code, market, theme, marcap, size_rank FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY marcap DESC, code) AS size_rank, count(*) OVER (PARTITION BY market) AS n FROM listing) WHERE 2 * size_rank <= n + 1",
     "market_breadth": f"WITH {BARS}, {_BREADTH} SELECT * FROM breadth",
     "moving_indicators": f"WITH {BARS}, {MOVING} SELECT code, date, obv, hh20_prev, hh252, "
     + ", ".join(f"round({k}, {n}) AS {k}" for k, n in {"ma5": 2, "ma20": 2, "ma60": 2, "ma120": 2, "ma60_slope": 4, "bb_upper": 2, "bb_width": 4, "sto_k": 2, "sto_d": 2, "vol_ma20": 4, "ret60": 4, "ret120": 4}.items())

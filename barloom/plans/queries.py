@@ -12,7 +12,7 @@ from barloom.operators.conditions import CANDLES, CONDITIONS, add_candles, add_c
 from barloom.operators.indicators import add_indicators, add_moving
 from barloom.operators.oscillators import OSCILLATORS, PATTERNS, add_oscillator_patterns, add_oscillators
 from barloom.operators.patterns import WINDOW_PATTERNS, add_window_patterns
-from barloom.operators.studies import asof_backward, combo_table, index_series, onset_combos, quote_bars, resample, split_day, volume_profile
+from barloom.operators.studies import asof_backward, combo_table, early_days, index_series, onset_combos, quote_bars, resample, split_day, volume_profile
 from barloom.operators.trades import barrier_exit, drawdown, horizon_return, streak, trade_stats
 from barloom.sources import market
 
@@ -34,9 +34,10 @@ def resample_monthly(spark, sf):
 
 
 def listing_filter(spark, sf):
-    """Shares of the larger half of the first market's sizes."""
-    found = market.listing(spark, sf)
-    return found.where(F.upper("market").startswith("KOS")).withColumn("size_rank", F.row_number().over(W.partitionBy("market").orderBy(F.desc("marcap"), "code"))).select("code", "market", "theme", "marcap", "size_rank")
+    """Codes of the larger half of each market by size."""
+    d = market.listing(spark, sf).where(F.upper("market").startswith("KOS"))
+    d = d.withColumns({"size_rank": F.row_number().over(W.partitionBy("market").orderBy(F.desc("marcap"), "code")), "__n": F.count(F.lit(1)).over(W.partitionBy("market"))})
+    return d.where(2 * F.col("size_rank") <= F.col("__n") + 1).select("code", "market", "theme", "marcap", "size_rank")
 
 
 def market_breadth(spark, sf):
@@ -289,9 +290,9 @@ def combo_mine(spark, sf):
     """One- to three-way conjunctions of twelve conditions, on all rows; the first 65 % of the days are early. ``combo_mine_all`` mines all of them."""
     names = ["align", "ma60up", "ma120", "mom3m", "hi52", "brk20", "near20", "gc", "vol", "bigc", "up3", "bb_rev"]
     bars = market.bars(spark, sf)
-    split = split_day(bars.withColumn("ret", horizon_return(20)).where("ret is not null"))
-    d = add_conditions(add_indicators(bars)).withColumn("ret", horizon_return(20)).where("ret is not null")
-    return combo_table(d, names, 3, 60, F.lit(split).cast("date"))
+    d = add_conditions(add_indicators(bars)).withColumn("ret", horizon_return(20)).where("ret is not null").select("date", "ret", *names)
+    days = early_days(bars.withColumn("ret", horizon_return(20)).where("ret is not null"))
+    return combo_table(d.join(days, "date"), names, 3, 60)
 
 
 def combo_mine_all(spark, sf):
@@ -337,7 +338,7 @@ def portfolio_value(spark, sf):
 
 
 def valuation_median(spark, sf):
-    """Median price by theme and market, for themes with three codes or more."""
+    """Median price and upper tenth by theme, for themes with three codes or more."""
     part = market.table(spark, sf, "part")
     return part.groupBy("p_type").agg(F.median("p_retailprice").alias("m"), F.count_distinct("p_brand").alias("n_codes"), F.percentile("p_retailprice", F.lit(0.9)).alias("p90")).where("n_codes >= 3").select("p_type", r("m", 4).alias("median_price"), "n_codes", r("p90", 4).alias("p90_price"))
 
