@@ -2,11 +2,12 @@
 
 Work that has to be cut from its lineage goes to the folder that the session
 names in ``spark.checkpoint.dir``; a folder of our own is set only where that
-setting is absent (local tests).
+setting is absent and driver and tasks are one process (local tests).
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,8 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as named by the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
-        current = spark.sparkContext.getCheckpointDir()
-        folder = current or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        folder = spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -34,3 +34,41 @@ def test_clean_labelled_documents_are_kept(spark, sf_dir):
     good = docs.join(labels.where("quality = 1"), "doc_id").where(F.size(F.split("text", r"\s+")) >= 40)
     assert good.join(kept, "doc_id", "left_anti").count() == 0
     assert corpus_pipeline.language_stage(spark, kept, sf_dir).count() == kept.count()
+
+
+def odd_documents(spark, sf_dir):
+    """Nulls in every column, empty and long texts, repeated rows, and columns that the operators use themselves."""
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet").where("lang is not null").limit(40)
+    long = base.limit(1).withColumns({"doc_id": F.lit(10_001).cast("long"), "text": F.repeat(F.concat("text", F.lit(" ")), 60)})
+    odd = spark.createDataFrame([(10_002, None, None, None, None), (10_003, "", "en", "s", 0), (None, "some words of a text without an id " * 5, None, "s", 9), (10_004, "12 34", "en", None, 5)], base.schema)
+    docs = base.unionByName(base.limit(3)).unionByName(long).unionByName(odd)
+    return docs.withColumns({k: F.lit("clash") for k in ("kept", "spans", "secret_spans", "lang_pred", "score", "rejected", "component", "id", "digest")})
+
+
+def test_stages_take_odd_rows(spark, sf_dir):
+    docs = odd_documents(spark, sf_dir).cache()
+    total = docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf_dir)
+        rows = got.collect()
+        assert got.columns == COLUMNS and 0 < len(rows) <= total, name
+        if name in ("quality", "language"):
+            assert not {r["doc_id"] for r in rows} & {10_002, 10_003, 10_004}, name
+        if name == "near_duplicates":
+            ids = [r["doc_id"] for r in rows if r["doc_id"] is not None]
+            assert {10_002, 10_003} <= set(ids) and {i: ids.count(i) for i in ids} == {r[0]: r[1] for r in docs.where(F.col("doc_id").isin(ids)).groupBy("doc_id").count().collect()}
+        if name == "secrets":
+            assert len(rows) == total and all((r["text"] is None) == (r["doc_id"] == 10_002) for r in rows)
+
+
+def test_packing_takes_odd_rows(spark, sf_dir):
+    docs = odd_documents(spark, sf_dir)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs.where("doc_id is not null").dropDuplicates(["doc_id"]), sf_dir).collect()
+    ends = {p["doc_id"]: p["doc_tokens"] for p in packed}
+    assert ends[10_002] == ends[10_003] == 1 and sum(p["length"] for p in packed) == sum(ends.values())
+
+
+def test_empty_documents_pass_through_all_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf_dir).count() == 0, name
