@@ -14,7 +14,7 @@ def swing_phases(spark, sf):
     """The swing of the last 120 bars, its phase and its retracement prices."""
     p = levels.retracements(levels.phases(add_moving(market.bars(spark, sf))))
     shares = [r(k, 6).alias(k) for k in ("fall", "rise", "back", "span", "rebound")]
-    return p.select("code", "days", *[r(k, 4).alias(k) for k in ("high", "low", "after")], *shares, "phase", "kind", F.array_join(F.transform("fib", lambda x: x.cast("decimal(18,1)").cast("string")), "|").alias("fib"))
+    return p.select("code", "days", "high", "low", "after", *shares, "phase", "kind", F.array_join(F.transform("fib", lambda x: x.cast("decimal(18,1)").cast("string")), "|").alias("fib"))
 
 
 def volume_zones(spark, sf):

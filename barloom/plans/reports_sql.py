@@ -62,7 +62,7 @@ SELECT code, CASE side WHEN 1 THEN 'resistance' ELSE 'support' END AS side, plac
 
 
 REPORT_SQL = {
-    "swing_phases": f"WITH {BARS}, {MOVING}, {_SWING} SELECT code, days, round(top, 4) AS high, round(floor_, 4) AS low, round(after, 4) AS after, {', '.join(f'round({k}, 6) AS {k}' for k in ('fall', 'rise', 'back', 'span', 'rebound'))}, phase, kind, fib FROM z4 LEFT JOIN fib USING (code)",
+    "swing_phases": f"WITH {BARS}, {MOVING}, {_SWING} SELECT code, days, top AS high, floor_ AS low, after, {', '.join(f'round({k}, 6) AS {k}' for k in ('fall', 'rise', 'back', 'span', 'rebound'))}, phase, kind, fib FROM z4 LEFT JOIN fib USING (code)",
     "volume_zones": f"WITH {BARS}, {_ZONES} SELECT * FROM zones",
     "price_levels": _levels(),
 }

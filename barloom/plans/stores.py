@@ -40,7 +40,7 @@ def _picks(spark, sf):
 def pick_ledger(spark, sf):
     """Golden crosses as picks with target and stop by the range, scored over the bars that followed."""
     s = ledger.score_picks(_picks(spark, sf), market.bars(spark, sf))
-    return s.select("id", "status", r("entry", 6).alias("entry"), "exit_date", r("exit", 6).alias("exit"), r("ret", 6).alias("ret"), "days")
+    return s.select("id", "status", r("entry", 7).alias("entry"), "exit_date", r("exit", 7).alias("exit"), r("ret", 6).alias("ret"), "days")
 
 
 def pick_summary(spark, sf):

@@ -26,6 +26,6 @@ _LEDGER = f"""WITH {BARS}, {MOVING}, {RECURSIVE}, a0 AS (SELECT *, row_number()
 STORE_SQL = {
     "incremental_upsert": _UPSERT,
     "columnar_history": _COLUMNAR,
-    "pick_ledger": f"{_LEDGER} SELECT id, status, round(entry, 6) AS entry, exit_date, round(exit, 6) AS exit, round(ret, 6) AS ret, days FROM z",
+    "pick_ledger": f"{_LEDGER} SELECT id, status, round(entry, 7) AS entry, exit_date, round(exit, 7) AS exit, round(ret, 6) AS ret, days FROM z",
     "pick_summary": f"{_LEDGER} SELECT count(*) AS total, count(*) FILTER (status <> 'open') AS closed, count(*) FILTER (status = 'open') AS open, round(avg(CASE WHEN ret > 0 THEN 1.0::DOUBLE ELSE 0 END) FILTER (status <> 'open'), 6) AS win, round(avg(ret) FILTER (status <> 'open'), 6) AS mean, round(avg(days) FILTER (status <> 'open'), 6) AS days FROM z",
 }
