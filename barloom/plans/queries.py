@@ -34,10 +34,9 @@ def resample_monthly(spark, sf):
 
 
 def listing_filter(spark, sf):
-    """Codes of the larger half of each market by size."""
-    d = market.listing(spark, sf).where(F.upper("market").startswith("KOS"))
-    d = d.withColumns({"size_rank": F.row_number().over(W.partitionBy("market").orderBy(F.desc("marcap"), "code")), "__n": F.count(F.lit(1)).over(W.partitionBy("market"))})
-    return d.where(2 * F.col("size_rank") <= F.col("__n") + 1).select("code", "market", "theme", "marcap", "size_rank")
+    """All codes of the listed markets with their rank by size in their market."""
+    found = market.listing(spark, sf)
+    return found.where(F.upper("market").startswith("KOS")).withColumn("size_rank", F.row_number().over(W.partitionBy("market").orderBy(F.desc("marcap"), "code"))).select("code", "market", "theme", "marcap", "size_rank")
 
 
 def market_breadth(spark, sf):

@@ -116,3 +116,11 @@ def test_entry_points(spark):
 
     assert set(QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() >= 0
+
+
+def test_listing_has_every_code_with_its_rank(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{sf_dir}/part.parquet'")
+    found = QUERIES["listing_filter"](spark, sf_dir).toPandas()
+    assert set(found["code"]) == {c for (c,) in con.execute("SELECT DISTINCT p_brand FROM part").fetchall()}
+    assert rows(found) == rows(con.execute(ORACLE_SQL["listing_filter"]).df())
