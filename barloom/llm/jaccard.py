@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from barloom.llm.common import connected_components, cut, kept, stored
+from barloom.llm.common import connected_components, kept, stored
 
 WORDS = 4
 PERCENT = 85
@@ -279,7 +279,7 @@ def _shared_entries(entries: DataFrame) -> DataFrame:
 def _blocks(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """key, n, m, item, pos: the columns of each set's block that others hold; m is the number of its shared columns."""
     may = shared.groupBy("key").agg(F.count(F.lit(1)).alias("most")).join(classes.select("key", "n"), "key").where(F.col("most") >= _least(F.col("n"), percent))
-    may = cut(may.select("key", "n"))
+    may = stored(may.select("key", "n"), "rows")
     rows = shared.join(F.broadcast(may) if may.count() <= BROADCAST_IDS else may, "key").dropDuplicates(["key", "item"])
     of = W.partitionBy("key")
     rows = rows.withColumn("m", F.count(F.lit(1)).over(of)).withColumn("rn", F.row_number().over(of.orderBy("df", "item")))
@@ -305,7 +305,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
 
 def _picked(rows: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """``rows`` whose ``on`` is in ``ids``, which are counted first."""
-    ids = cut(ids.distinct())
+    ids = stored(ids.distinct(), "ids")
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, "left_semi")
 
 
@@ -313,7 +313,7 @@ def _needed_sets(keys: DataFrame, profiles: DataFrame, base: DataFrame, words: i
     """The sets of ``keys (key)``, each once, from the text of one of its documents."""
     # texts are found by id; of a repeated id, other texts are dropped by their key
     chosen = _picked(profiles.where("key is not null"), keys, "key").groupBy("key").agg(F.min("id").alias("id"))
-    chosen = cut(chosen)
+    chosen = stored(chosen, "chosen")
     if chosen.where("id is null").isEmpty():
         texts = _picked(base, chosen.select("id"), "id")
     else:  # sets that only rows without an id have
@@ -388,14 +388,14 @@ def _blocked(hot: DataFrame, profiles: DataFrame, base: DataFrame, words: int, p
     """Links (a, b) between rows of ``hot (item, key, n, comp)`` that are not connected yet, by blocks of rows."""
     centre = hot.groupBy("item").agg(F.min("key").alias("b"))
     cluster = connected_components(hot.join(centre, "item").select(F.col("key").alias("a"), "b").distinct())
-    rows = cut(hot.select("key", "n", "comp").distinct().join(cluster.select(F.col("node").alias("key"), F.col("component").alias("cluster")), "key"))
+    rows = stored(hot.select("key", "n", "comp").distinct().join(cluster.select(F.col("node").alias("key"), F.col("component").alias("cluster")), "key"), "hot")
     # a component larger than a block is cut apart from the others: its blocks need not meet one another
     size = rows.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("e"))
     size = size.withColumn("of", F.when((F.col("c") > BLOCK_ROWS) | (F.col("e") > BLOCK_ENTRIES), F.col("comp")))
     cuts = size.groupBy("cluster", "of").agg(F.greatest(F.ceil(F.sum("c") / BLOCK_ROWS), F.ceil(F.sum("e") / BLOCK_ENTRIES)).alias("cuts"))
     where = size.select("cluster", "comp", "of").join(cuts.withColumnRenamed("of", "of2").withColumnRenamed("cluster", "cluster2"), F.col("of").eqNullSafe(F.col("of2")) & (F.col("cluster") == F.col("cluster2")))
     block = F.xxhash64("cluster", "of", F.pmod(F.xxhash64("key"), F.col("cuts"))).alias("block")
-    rows = cut(rows.join(where.select("cluster", "comp", "of", "cuts"), ["cluster", "comp"]).select("key", "n", "comp", "cluster", "of", block))
+    rows = stored(rows.join(where.select("cluster", "comp", "of", "cuts"), ["cluster", "comp"]).select("key", "n", "comp", "cluster", "of", block), "hot")
     blocks = rows.select("cluster", "of", "block").distinct()
     x, y = (blocks.select("cluster", F.col("of").alias(f"of_{s}"), F.col("block").alias(s)) for s in "xy")
     meet = x.join(y, "cluster").where("x <= y and not coalesce(of_x = of_y, false)").withColumn("pair", F.xxhash64("x", "y"))
@@ -441,18 +441,18 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # one row of each column against the others; each row with the one it shares most with
     centre = active.groupBy("item").agg(F.min(F.struct(F.xxhash64("key", "item").alias("h"), "key", "n", "m", "pos", "comp")).alias("c")).select("item", "c.*")
-    near = cut(_product(active, centre, percent).unionByName(_product(centre, active, percent)))
+    near = stored(_product(active, centre, percent).unionByName(_product(centre, active, percent)), "near")
     ends = near.select(F.col("a").alias("key"), "shared", "a", "n_a", "b", "n_b").unionByName(near.select(F.col("b").alias("key"), "shared", "a", "n_a", "b", "n_b"))
-    best = cut(ends.groupBy("key").agg(F.max(F.struct("shared", "a", "n_a", "b", "n_b")).alias("m")).select("m.*").distinct())
-    links = cut(_verified(best, _needed_sets(_ends(best), profiles, base, words), percent))
-    comps = cut(connected_components(links))
+    best = stored(ends.groupBy("key").agg(F.max(F.struct("shared", "a", "n_a", "b", "n_b")).alias("m")).select("m.*").distinct(), "best")
+    links = stored(_verified(best, _needed_sets(_ends(best), profiles, base, words), percent), "links")
+    comps = stored(connected_components(links), "components")
 
     # all rows of a column, where these are not all connected yet
     renamed = active.drop("comp").join(comps.select(F.col("node").alias("key"), F.col("component").alias("c")), "key", "left").withColumn("comp", F.coalesce("c", "key")).drop("c")
     open_items = renamed.groupBy("item").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo < hi").select("item", "rows")
     rest = stored(renamed.join(open_items, "item"), "open")
     few = rest.where(F.col("rows") <= JOIN_ROWS)
-    pairs = cut(_product(few, few, percent))
+    pairs = stored(_product(few, few, percent), "pairs")
     found = links.unionByName(_verified(pairs, _needed_sets(_ends(pairs), profiles, base, words), percent))
     hot = rest.where(F.col("rows") > JOIN_ROWS).select("item", "key", "n", "comp")
     if not hot.isEmpty():
@@ -461,7 +461,7 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     of_class = classes.join(comps, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "key").alias("group"))
     least = of_class.groupBy("group").agg(F.min("rep").alias("component"))
-    named = cut(of_class.join(least, "group").select("key", "component"))
+    named = stored(of_class.join(least, "group").select("key", "component"), "named")
     return profiles.join(named, "key", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm import html_extract, jaccard, langid, packing, pieces, quality, secrets, token_files, url_filter, vectors
+from barloom.llm import common, html_extract, jaccard, langid, packing, pieces, quality, secrets, token_files, tokens, url_filter, vectors
 from barloom.llm.common import connected_components, new_path
 from barloom.llm.tokens import ChunkEncoder, tokenizer_path
 
@@ -354,3 +354,13 @@ def test_plan_places_every_rank_once():
     for n, c in counts.items():
         ranks = sorted(r for x in (*pairs, *places) if x[0] == n for r in range(x[1], x[2]))
         assert ranks == list(range(used[n])) and used[n] <= c
+
+
+def test_components_of_long_chains_need_few_rounds(spark, monkeypatch):
+    asked = []
+    found = common._fingerprint
+    monkeypatch.setattr(common, "_fingerprint", lambda edges: asked.append(1) or found(edges))
+    chains = [(1000 * k + i, 1000 * k + i + 1) for k in range(3) for i in range(200)] + [(5, 5), (None, 7), (9000, 9000)]
+    got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(chains, "a long, b long")).collect()}
+    assert got == {1000 * k + i: 1000 * k for k in range(3) for i in range(201)}
+    assert len(asked) == 2  # one before the rounds, one after the only round
