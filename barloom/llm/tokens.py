@@ -3,7 +3,8 @@
 A text is cut at places where the tokenizer cuts as well, whatever stands on
 either side, so each chunk is encoded on its own and its ids are remembered.
 Natural text repeats its words, so most chunks cost one dictionary lookup.
-New chunks of plain Latin text are encoded together, as one text.
+New chunks of plain Latin text are encoded together, as one text. Of a word
+with signs after it, word and signs are looked up apart.
 """
 
 from __future__ import annotations
@@ -45,14 +46,18 @@ class ChunkEncoder:
     _PLAIN = re.compile(r"\n?[\x21-\x7e\xa1-\u012f\u0131-\u017f]+")
     #: A word and at most one run of signs after it.
     _WORD = re.compile(r"[a-zA-Z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+([!-&(-/:-@\[-`{-~]+)?")
+    #: Signs that are a pre-token apart from the letter before them.
+    _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
     #: The pre-tokens of the two kinds of byte-level tokenizers.
     _PRE_TOKENS = {
         True: r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+",
         False: r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
     }
 
-    def __init__(self, path: str, spaces: str, cache_chars: int = 6_000_000):
+    def __init__(self, path: str, spaces: str, cache_chars: int = 16_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import codecs
+
         import numpy as np
         import regex
         from tokenizers import Tokenizer
@@ -73,7 +78,9 @@ class ChunkEncoder:
         # byte-level alphabet: printable Latin-1 stands for itself, other bytes for letters from U+0100 on
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
         others = [b for b in range(256) if b not in printable]
-        self._letters = {b: 256 + k for k, b in enumerate(others)} | {9: 9}
+        letters = {b: 256 + k for k, b in enumerate(others)} | {9: 9}
+        self._letters = "".join(chr(letters.get(b, b)) for b in range(256))
+        self._decode = codecs.charmap_decode
         # tokens that begin with a space or a line feed, or that end a word
         size = 1 + max(vocabulary.values())
         self._space, self._feed, self._end = (np.zeros(size, bool) for _ in range(3))
@@ -99,31 +106,50 @@ class ChunkEncoder:
 
         return np.asarray(self._tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        """New chunks. Plain ones are encoded as one text, which is cheaper for each, and told apart by their tokens."""
-        plain = [c for c in new if self._PLAIN.fullmatch(c)]
+    def _learn(self, new: set[str]) -> int:
+        """New chunks; returns the characters of what is learned for them besides."""
+        signed, mark = [], "" if self._dropped else "\0"
+        for c in new:
+            body = c.rstrip(self._SIGNS)
+            if len(body) < len(c) and body[-1:] <= "\u017f" and body.lstrip("\0\n").isalpha():
+                signed.append((c, body, mark + c[len(body) :]))
+        parts = {x for _, *both in signed for x in both}.difference(self._cache)
+        known = parts.intersection(self._older)
+        self._cache.update((c, self._older[c]) for c in known)
+        if whole := new.difference([c for c, _, _ in signed]) | (parts - known):
+            self._learn_whole(list(whole))
+        get = self._cache.__getitem__
+        self._cache.update((c, get(body) + get(signs)) for c, body, signs in signed)
+        return sum(map(len, parts - new))
+
+    def _learn_whole(self, new: list[str]) -> None:
+        """Plain chunks are encoded as one text, which is cheaper for each, and told apart by their tokens."""
+        plain = [c for c in new if c.isascii() and c.isalpha() or self._PLAIN.fullmatch(c)]
+        words = [c for c in plain if c.isalpha()]
+        plain = [c for c in plain if not c.isalpha()]
         if self._dropped:
+            self._together(words, "\t".join(words).lower(), self._end, [1] * len(words))
             count = [1 if (m := self._WORD.fullmatch(c)) and not m[1] else 2 if m else len(self._pre_tokens(c.lower())) for c in plain]
-            self._together(plain, " ".join(plain), self._end, count)
+            self._together(plain, "\t".join(self._pre_tokens(" ".join(plain).lower())), self._end, count)
         else:
             lines = [c for c in plain if c[0] == "\n"]
             plain = [c for c in plain if c[0] != "\n"]
-            self._together(plain, " " + " ".join(plain), self._space)
-            self._together(lines, "".join(lines), self._feed)
+            self._together(words, " " + "\t ".join(words), self._space)
+            self._together(plain, "\t".join(self._pre_tokens(" " + " ".join(plain))), self._space)
+            self._together(lines, "\t".join(self._pre_tokens("".join(lines))), self._feed)
         rest = [c for c in new if c not in self._cache]
         for chunk, enc in zip(rest, self._tok.encode_batch_fast(rest if self._dropped else [self._meant(c) for c in rest], add_special_tokens=False)):
             # other white space before a space may be one token with it: not a safe place to cut
             unsafe = not self._dropped and chunk[-1:].isspace() and self._meant(chunk).strip(" \n")
             self._cache[chunk] = None if unsafe else b"".join(i.to_bytes(4, "little") for i in enc.ids)
 
-    def _together(self, chunks: list[str], text: str, mark, count: list[int] | None = None) -> None:
-        """Ids of the chunks of ``text``: each begins with a marked token or, by ``count``, ends with so many."""
+    def _together(self, chunks: list[str], parts: str, mark, count: list[int] | None = None) -> None:
+        """Ids of the chunks, whose pre-tokens are ``parts``: each begins with a marked token or, by ``count``, ends with so many."""
         import numpy as np
 
         if not chunks:
             return
-        parts = "\t".join(self._pre_tokens(text.lower() if self._dropped else text))
-        letters = parts.encode().decode("latin-1").translate(self._letters)
+        letters, _ = self._decode(parts.encode(), "strict", self._letters)
         ids = np.asarray(self._model.encode_batch_fast([letters], add_special_tokens=False)[0].ids, dtype="<u4")
         at = np.flatnonzero(mark[ids])
         if count is None:
@@ -160,7 +186,7 @@ class ChunkEncoder:
             known = missing.intersection(self._older)
             self._cache.update((c, self._older[c]) for c in known)
             if len(known) < len(missing):
-                self._learn(list(missing - known))
+                self._chars += self._learn(missing - known)
             self._chars += sum(map(len, missing))
         get, out = self._cache.__getitem__, []
         for text, parts in zip(texts, chunks):

@@ -356,6 +356,17 @@ def test_plan_places_every_rank_once():
         assert ranks == list(range(used[n])) and used[n] <= c
 
 
+def test_a_word_and_its_signs_are_looked_up_apart():
+    for name, spaces in (("word_bpe_49k.json", "dropped"), ("byte_bpe_50k.json", "kept")):
+        enc = tokens.ChunkEncoder(tokens.tokenizer_path(name), spaces)
+        text = "Treéhause, oningtion.###\nTreéhause, x'y!! oningtion... ŉa, ªb. 7,a; ΑΣ, aΣb,"
+        whole = enc._whole(text)
+        assert enc.encode(text) == whole
+        enc.encode("a Treéhause oningtion, Treéhause.###")
+        enc._tok = enc._model = None  # nothing is encoded anew
+        assert len(enc.encode("a Treéhause, oningtion.###")) > 0
+
+
 def test_components_of_long_chains_need_few_rounds(spark, monkeypatch):
     asked = []
     found = common._fingerprint
