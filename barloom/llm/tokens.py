@@ -114,7 +114,7 @@ class ChunkEncoder:
             if len(body) < len(c) and body[-1:] <= "\u017f" and body.lstrip("\0\n").isalpha():
                 signed.append((c, body, mark + c[len(body) :]))
         parts = {x for _, *both in signed for x in both}.difference(self._cache)
-        known = parts.intersection(self._older)
+        known = self._older.keys() & parts
         self._cache.update((c, self._older[c]) for c in known)
         if whole := new.difference([c for c, _, _ in signed]) | (parts - known):
             self._learn_whole(list(whole))
@@ -183,7 +183,7 @@ class ChunkEncoder:
             self._older, self._cache, self._chars = self._cache, {"\0\0": None}, 0
         missing = set().union(*chunks).difference(self._cache)
         if missing:
-            known = missing.intersection(self._older)
+            known = self._older.keys() & missing
             self._cache.update((c, self._older[c]) for c in known)
             if len(known) < len(missing):
                 self._chars += self._learn(missing - known)

@@ -375,3 +375,17 @@ def test_components_of_long_chains_need_few_rounds(spark, monkeypatch):
     got = {r["node"]: r["component"] for r in common.connected_components(spark.createDataFrame(chains, "a long, b long")).collect()}
     assert got == {1000 * k + i: 1000 * k for k in range(3) for i in range(201)}
     assert len(asked) == 2  # one before the rounds, one after the only round
+
+
+@pytest.mark.parametrize("name,spaces", [("word_bpe_49k.json", "dropped"), ("byte_bpe_50k.json", "kept")])
+def test_a_new_chunk_costs_no_walk_through_the_older_chunks(name, spaces):
+    class Older(dict):
+        def __iter__(self):
+            raise AssertionError("all older chunks are walked through")
+
+    enc = tokens.ChunkEncoder(tokens.tokenizer_path(name), spaces)
+    enc.encode("oningtion Treéhause, " + " ".join(f"w{i}" for i in range(500)))
+    enc._older, enc._cache = Older(enc._cache), {"\0\0": None}
+    text = "Oning oningtion, Treéhause, w7 w77. new"
+    assert enc.encode(text) == enc._whole(text)
+    assert "w7" in enc._cache and len(enc._cache) < 50  # what is met again moves, the rest stays
