@@ -54,7 +54,7 @@ class ChunkEncoder:
         False: r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
     }
 
-    def __init__(self, path: str, spaces: str, cache_chars: int = 16_000_000):
+    def __init__(self, path: str, spaces: str, cache_chars: int = 10_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import codecs
 
@@ -111,7 +111,8 @@ class ChunkEncoder:
         signed, mark = [], "" if self._dropped else "\0"
         for c in new:
             body = c.rstrip(self._SIGNS)
-            if len(body) < len(c) and body[-1:] <= "\u017f" and body.lstrip("\0\n").isalpha():
+            # lower-cased, U+0130 ends in a mark, which is a pre-token with the signs
+            if len(body) < len(c) and body[-1:] <= "\u017f" and body[-1:] != "\u0130" and body.lstrip("\0\n").isalpha():
                 signed.append((c, body, mark + c[len(body) :]))
         parts = {x for _, *both in signed for x in both}.difference(self._cache)
         known = self._older.keys() & parts

@@ -389,3 +389,9 @@ def test_a_new_chunk_costs_no_walk_through_the_older_chunks(name, spaces):
     text = "Oning oningtion, Treéhause, w7 w77. new"
     assert enc.encode(text) == enc._whole(text)
     assert "w7" in enc._cache and len(enc._cache) < 50  # what is met again moves, the rest stays
+
+
+def test_signs_after_a_dotted_capital_i_stay_with_its_mark():
+    enc = tokens.ChunkEncoder(tokens.tokenizer_path("word_bpe_49k.json"), "dropped")
+    for text in ("\u0130.", "a\u0130, b", "\u0130!! the.", "\u0130a."):
+        assert enc.encode(text) == enc._whole(text)
